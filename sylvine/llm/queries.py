@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvine.llm import mixing
+from sylvine.llm import flac, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = flac.decode(flac.encode(table(spark, sf_dir, "documents")))
+    return x.select(
+        "doc_id",
+        "n_bytes",
+        F.length("pcm").cast("long").alias("payload_bytes"),
+        F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pcm, -16, 16)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        F.size("frame_offsets").alias("n_blocks"),
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op10_flac": op10_flac,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE}
