@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvine.llm import flac, mixing
+from sylvine.llm import flac, mixing, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return x.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = flac.decode(flac.encode(table(spark, sf_dir, "documents")))
     return x.select(
@@ -32,6 +38,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op5_tokens": op5_tokens,
     "op10_flac": op10_flac,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE}
