@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvine.llm import ann, flac, mixing, tokens
+from sylvine.llm import ann, flac, mixing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "embeddings")
     return ann.search(x.where(F.col("vec_id") % 20 == 0), x)
@@ -44,6 +48,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op5_tokens": op5_tokens,
+    "op8_quality": op8_quality,
     "op9_ann": op9_ann,
     "op10_flac": op10_flac,
 }
