@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvine.llm import ann, flac, mixing, quality, tokens
+from sylvine.llm import ann, flac, mixing, neardup, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return x.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -47,6 +51,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_neardup": op3_neardup,
     "op5_tokens": op5_tokens,
     "op8_quality": op8_quality,
     "op9_ann": op9_ann,
