@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvine.llm import ann, flac, mixing, neardup, quality, tokens
+from sylvine.llm import ann, flac, mixing, neardup, quality, suffix, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = suffix.dedup(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return x.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -52,6 +57,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_neardup": op3_neardup,
+    "op4_suffix": op4_suffix,
     "op5_tokens": op5_tokens,
     "op8_quality": op8_quality,
     "op9_ann": op9_ann,
