@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvine.llm import ann, flac, mixing, neardup, quality, suffix, tokens
+from sylvine.llm import ann, flac, mixing, neardup, quality, segment, suffix, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    x = segment.decode(segment.encode(table(spark, sf_dir, "documents"), model), model)
+    return x.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", F.crc32("ids").alias("ids_crc32"), F.crc32("text").alias("text_crc32"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op3_neardup": op3_neardup,
     "op4_suffix": op4_suffix,
     "op5_tokens": op5_tokens,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_quality": op8_quality,
     "op9_ann": op9_ann,
     "op10_flac": op10_flac,
