@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylvine.llm import ann, flac, mixing, neardup, quality, segment, suffix, tokens
+from sylvine.llm import ann, flac, licenses, mixing, neardup, quality, segment, suffix, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"), percent=85)
 
@@ -30,6 +34,12 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    x = urls.screen(urls.dated_pages(pages), urls.dated_entries(pages))
+    return x.withColumns({c: F.col(c).cast("string") for c in ("fetched", "listed_since")})
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     x = segment.decode(segment.encode(table(spark, sf_dir, "documents"), model), model)
@@ -62,12 +72,14 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_licenses": op2_licenses,
     "op3_neardup": op3_neardup,
     "op4_suffix": op4_suffix,
     "op5_tokens": op5_tokens,
+    "op6_urls": op6_urls,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality": op8_quality,
     "op9_ann": op9_ann,
     "op10_flac": op10_flac,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op6_urls": urls.ORACLE}
