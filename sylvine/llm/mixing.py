@@ -42,9 +42,10 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
         (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0))).alias("free_weight"),
         (F.lit(most) * F.coalesce(F.sum("source_size").over(upto), F.lit(0))).alias("held"),
     )
-    # Sources with smaller ratios are full: what is left is shared by weight among this one and those after it.
+    # Sources with smaller ratios are full: what is left is shared by weight among this one and those after it. From the
+    # first source that isn't full on, these levels don't exceed the ratios and descend, so the largest is the level.
     x = x.withColumn("level", (F.lit(share) * F.col("all_size") - F.col("held")) / F.col("free_weight"))
-    x = x.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+    x = x.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     full = F.col("level").isNull() | (F.col("ratio") <= F.col("level"))
     return x.withColumn("target", F.when(full, F.lit(float(most)) * F.col("source_size")).otherwise(F.col("weight") * F.col("level"))).drop("all_size", "free_weight", "held", "ratio", "place")
 
@@ -92,7 +93,7 @@ placed AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source ASC NULLS LA
 ratios AS (SELECT *, 2.0::DOUBLE * source_size / weight AS ratio FROM placed),
 lev AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS own_level FROM ratios),
-levels AS (SELECT *, min(CASE WHEN own_level <= ratio THEN own_level END) OVER () AS level FROM lev),
+levels AS (SELECT *, max(CASE WHEN own_level <= ratio THEN own_level END) OVER () AS level FROM lev),
 goals AS (SELECT source, source_size, mass, CASE WHEN level IS NULL OR ratio <= level THEN 2.0::DOUBLE * source_size ELSE weight * level END AS target FROM levels),
 copies AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM goals),
 missing AS (SELECT *, floor(target - copies * source_size)::BIGINT AS missing FROM copies),
