@@ -1,11 +1,89 @@
-"""The pipeline over documents; its stages follow."""
+"""The pipeline over documents: quality, near-duplicates, repeated passages, mixture, segmentations.
 
-ORACLE_SQL = None
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the runner writes as Parquet and rereads as the next
+stage's docs. All but the last return the columns of documents. Rows without an id can't be joined with decisions about
+them, so near-duplicate removal and the mixture keep them as they are.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sylvine.llm import mixing, neardup, quality, segment, suffix
+from sylvine.scratch import Scratch
+
+PERCENT = 80  # near-duplicates from a similarity of 0.8
+ORACLE_SQL = None  # trained models, hashes and suffix arrays are beyond SQL; the stages are tested against brute force
+_last: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """A new folder for intermediate tables; the stage before has been written, so its tables can go."""
+    while _last:
+        _last.pop().drop()
+    _last.append(Scratch(spark, name))
+    return _last[-1]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects."""
+    _scratch(spark, "quality")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit(docs, labels))
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    found = neardup.group(docs, percent=PERCENT, scratch=_scratch(spark, "neardup"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    # Of rows that repeat an id only one stays.
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out passages that repeat anywhere; a character cut through loses its rest, and n_chars follows the text."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    cut = suffix.dedup(row, carry="row", scratch=_scratch(spark, "suffix"))
+    touched = F.col("n_removed") > 0
+    text = F.when(touched, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).otherwise(F.col("carried.text"))
+    cut = cut.select("carried.*", text.alias("new_text"), touched.alias("touched"))
+    values = {"text": F.col("new_text"), "n_chars": F.when(F.col("touched"), F.length("new_text").cast("long")).otherwise(F.col("n_chars"))}
+    return cut.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and samples documents so that the sources come to their shares; each copy is a row."""
+    mixed = mixing.mix(docs, scratch=_scratch(spark, "mixing"))
+    # A document cut at its source's target is kept whole here, and one without words is no word of the mix.
+    times = mixed.select(F.col("doc_id").alias("of"), F.ceil(F.col("taken") / F.expr("nullif(size, 0)")).cast("int").alias("times")).where("times > 0")
+    times = times.groupBy("of").agg(F.max("times").alias("times"))
+    x = docs.join(times, F.col("doc_id") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return x.select(*docs.columns)
+
+
+def segment_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every row: doc_id, sample, n_pieces, log_prob, log_inclusion, ids."""
+    _scratch(spark, "segment")
+    return segment.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", neardup_stage),
+    ("suffix-array dedup", suffix_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", segment_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each stage's rows written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    between = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = between.table(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
