@@ -8,9 +8,10 @@ with 5e-8.
 
 Documents of equal sets are one node (its least id) from the start, found by aggregation. In a bucket only star edges are
 made: each node with one centre. Nodes that a star leaves in another component than the centre get a second star around
-the node with most confirmed links; what is then still in several components of a bucket is compared by signatures, in
-blocks of bounded size, and only pairs of different components that look similar enough go on to be confirmed, so no link
-between components is lost. Every link is confirmed on the full sets of both texts.
+the node with most confirmed links. Buckets that then still hold several components are united to clusters, and blocks of
+bounded size of a cluster are compared: pairs of different components whose signatures agree enough have their full sets
+intersected, and only a spanning forest of the links goes out, so no link between components is lost and no group gives
+more rows than it has members. Every link is confirmed on the full sets of both texts.
 
 Null and empty texts, and those of white space only: empty set, linked with nothing. Null ids: no component, kept null.
 Rows that repeat an id are one document of both texts' links. An empty table gives an empty result. Only the named
@@ -30,7 +31,7 @@ from sylvine.llm.text import blocks, mix, shingles, stream, text_bytes, word_has
 from sylvine.scratch import Scratch
 
 WORDS, BINS, BANDS, ROWS = 5, 128, 32, 4
-CHUNK, BLOCK = 2 << 20, 2048
+CHUNK, BLOCK, BLOCK_BYTES = 2 << 20, 1024, 16 << 20
 ATTEMPTS = 1024
 DRAWS = (stream(31, BINS * ATTEMPTS).reshape(ATTEMPTS, BINS) >> np.uint64(57)).astype(np.int64)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -128,8 +129,13 @@ def _pairs(x: DataFrame) -> DataFrame:
     return x.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
-def _similar(least: int):
-    """Of a block of a bucket, or two: the pairs of different components that agree in at least `least` bins."""
+def _link(percent: int, words: int):
+    """Of a block of a cluster, or two: confirmed links between components, a spanning forest of them.
+
+    Pairs that agree in too few bins are passed over; the others' intersections are counted exactly on bit sets of the
+    shingles that more than one document here has.
+    """
+    least = int(BINS * (percent / 100 - 0.17))
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
@@ -137,14 +143,47 @@ def _similar(least: int):
         one = side.min() == side.max()
         left = np.arange(len(ids)) if one else np.flatnonzero(side == side.min())
         right = left if one else np.flatnonzero(side == side.max())
-        found = []
+        pairs = []
         for i in left.tolist():
             other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (not one))]
-            if len(other):
-                hit = other[(sig[other] == sig[i]).sum(1) >= least]
-                found.append(np.stack([np.full(len(hit), ids[i]), ids[hit]], 1))
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"id": out[:, 0], "centre": out[:, 1]})
+            pairs.append(np.stack([np.full(len(other), i), other], 1)[(sig[other] == sig[i]).sum(1) >= least])
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        used = np.unique(pairs)
+        if not len(used):
+            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        pairs = np.searchsorted(used, pairs)
+        buf, at = text_bytes(table.column("text").combine_chunks().cast(pa.large_string()).take(pa.array(used)))
+        parts = [sets(buf[at[i] : at[j]], at[i : j + 1] - at[i], words) for i, j in blocks(at, CHUNK)]
+        size = np.concatenate([np.diff(begin) for _, begin in parts])
+        _, column, count = np.unique(np.concatenate([s for s, _ in parts]), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(used)), size)[count[column] > 1]
+        column = (np.cumsum(count > 1) - 1)[column[count[column] > 1]]
+        both = np.zeros(len(pairs), np.int64)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, int(column.max(initial=-1)) + 1, 8192):
+            cut = slice(*np.searchsorted(column, [lo, lo + 8192]))
+            has = np.zeros((len(used), 8192), bool)
+            has[row[cut], column[cut] - lo] = True
+            bits = np.packbits(has, 1).view(np.uint64)
+            for i in range(0, len(pairs), 16384):
+                p = pairs[i : i + 16384]
+                both[i : i + 16384] += np.bitwise_count(bits[p[:, 0]] & bits[p[:, 1]]).sum(1, dtype=np.int64)
+        union = size[pairs[:, 0]] + size[pairs[:, 1]] - both
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for x, y in used[pairs[100 * both >= percent * union]].tolist():
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q:
+                parent[p] = q
+                links.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
@@ -179,16 +218,19 @@ def group(docs: DataFrame, percent: int = 85, id_col="doc_id", text_col="text",
     more = _pairs(left.join(hub, "bucket").where("comp <> centre_comp")).join(tried, ["a", "b"], "left_anti")
     more = scratch.table(more, "pairs")
     links = scratch.table(links.union(confirm(more, texts, percent, words)), "links")
-    tried = tried.union(more)
 
+    # What is still open: buckets that hold several components, united to clusters, so that each text is compared once.
     comp, left = labelled()
-    left = left.join(nodes.select("id", "signature"), "id")
-    spread = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("id"), spread).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), spread - 1)))
+    left = scratch.table(left.select("bucket", "id", "comp"), "open")
+    star = left.join(left.groupBy("bucket").agg(F.min("id").alias("centre")), "bucket").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    cluster = components(star, scratch).select("id", F.col("component").alias("cluster"))
+    left = left.select("id", "comp").distinct().join(cluster, "id").join(nodes.select("id", "signature"), "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    left = scratch.table(left, "clusters")
+    spread = left.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_BYTES)).cast("int").alias("spread"))
+    left = left.join(spread, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("spread")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
     left = left.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
-    rest = left.select("bucket", "lo", "hi", "id", "comp", "block", "signature").groupBy("bucket", "lo", "hi").applyInArrow(_similar(int(BINS * (percent / 100 - 0.17))), "id long, centre long")
-    rest = scratch.table(_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = scratch.table(links.union(confirm(rest, texts, percent, words)), "links")
+    rest = left.select("cluster", "lo", "hi", "id", "comp", "block", "signature", "text").groupBy("cluster", "lo", "hi").applyInArrow(_link(percent, words), "a long, b long")
+    links = scratch.table(links.union(rest), "links")
 
     comp = scratch.table(components(links, scratch), "components")
     of_set = nodes.select("h1", "h2", "id").join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("of_set"))
