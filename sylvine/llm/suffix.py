@@ -35,7 +35,7 @@ from sylvine.llm.text import BASE, BYTE, INVERSE, blocks, mix, powers, stream, t
 from sylvine.scratch import Scratch
 
 LENGTH, GRAM = 200, 32
-CHUNK, SHARD, HOT = 1 << 20, 4 << 20, 50_000
+CHUNK, SHARD, HOT = 1 << 20, 3 << 19, 50_000
 EDGE = stream(77, 256)
 POSITION = np.uint64((1 << 24) - 1)
 
@@ -302,8 +302,8 @@ def _slice(length: int, gram: int):
             refs = lists.flatten().to_numpy() if len(lists) else np.zeros(0, np.int64)
             row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             h, e = (batch.column(c).flatten().to_numpy() for c in (2, 3))
-            for lo in range(0, len(refs), 10_000):
-                r = slice(lo, lo + 10_000)
+            for lo in range(0, len(refs), 4_000):
+                r = slice(lo, lo + 4_000)
                 begin, count = at[row[r]] + (refs[r] >> 32), refs[r] >> 24 & 0xFF
                 # The anchor again, from the first window of each stretch.
                 anchor = _anchors(buf, begin, length, gram)
