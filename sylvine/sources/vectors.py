@@ -47,8 +47,8 @@ def layout(path: str, kind: str | None = None) -> tuple[str, str, int, int, int,
                 raise ValueError(f"{path}: {size - 8 - n * width} bytes after the last row")
             return kind, item.str, min(n, (size - 8) // width), dim, 8, width
         if kind == "npy":
-            version = np.lib.format.read_magic(f)
-            shape, fortran, item = np.lib.format._read_array_header(f, version)
+            major = np.lib.format.read_magic(f)[0]
+            shape, fortran, item = (np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0)(f)
             if len(shape) != 2 or fortran:
                 raise ValueError(f"{path}: not a 2-d array in row order")
             return kind, item.str, shape[0], shape[1], f.tell(), shape[1] * item.itemsize
