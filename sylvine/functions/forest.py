@@ -158,37 +158,43 @@ class Forest:
         base = (1 << self.depth) - 1
         return np.stack([self.descend(x, t, leaves[:, t] + base, extra)[0] for t in range(self.n_trees)], 1) - ((1 << self.depth + extra) - 1)
 
-    def _flipped(self, x: np.ndarray, tree: int, flips: frozenset[int]) -> tuple[int, float]:
-        node, score = np.zeros(1, np.int64), np.inf
-        for level in range(self.depth):
-            margin = float(self.differences(x, tree, node)[0] - self.thresholds(tree, node)[0])
-            score = min(score, abs(margin))
-            node = 2 * node + 1 + ((margin > 0) != (level in flips))
-        return int(node[0]) - ((1 << self.depth) - 1), score
-
-    def probe(self, vector: np.ndarray, tree: int, n_probes: int, min_flip: int = 0, multi: bool = False) -> list[tuple[int, float]]:
-        """The main leaf and up to n_probes more, with the least margin on the path to each.
+    def probe(self, x: np.ndarray, tree: int, n_probes: int, min_flip: int = 0, multi: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each vector the main leaf and up to n_probes more, with the least margin on the path to each: rows, leaves, scores.
 
         Single flips turn one of the levels from min_flip on, smallest margin first, shallower on ties. Multiple flips
-        turn sets of levels in order of the sum of their margins.
+        turn sets of levels in order of the sum of their margins. All paths of all vectors descend together.
         """
-        x = normalise(np.asarray(vector, np.float64)[None])
-        node, margins = self.descend(x, tree, np.zeros(1, np.int64), self.depth)
-        margins = np.abs(margins[0])
-        out = [(int(node[0]) - ((1 << self.depth) - 1), float(margins.min()))]
-        levels = sorted(range(min_flip, self.depth), key=lambda i: (margins[i], i))
-        if not multi:
-            return out + [self._flipped(x, tree, frozenset([i])) for i in levels[:n_probes]]
-        queue = [(margins[levels[0]], (0,))] if levels else []
-        while queue and len(out) <= n_probes:
-            cost, places = heapq.heappop(queue)
-            out.append(self._flipped(x, tree, frozenset(levels[i] for i in places)))
-            last = places[-1]
-            if last + 1 < len(levels):
-                step = margins[levels[last + 1]]
-                heapq.heappush(queue, (cost + step, (*places, last + 1)))
-                heapq.heappush(queue, (cost + step - margins[levels[last]], (*places[:-1], last + 1)))
-        return out
+        x = normalise(np.asarray(x, np.float64))
+        margins = np.abs(self.descend(x, tree, np.zeros(len(x), np.int64), self.depth)[1])
+        flips = [_flips(m, n_probes, min_flip, multi) for m in margins]
+        rows = np.repeat(np.arange(len(x)), [len(f) for f in flips])
+        turned = np.zeros((len(rows), self.depth), bool)
+        for i, levels in enumerate(f for each in flips for f in each):
+            turned[i, list(levels)] = True
+        node, score = np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
+        for level in range(self.depth if len(rows) else 0):
+            margin = self.differences(x[rows], tree, node) - self.thresholds(tree, node)
+            score = np.minimum(score, np.abs(margin))
+            node = 2 * node + 1 + ((margin > 0) != turned[:, level])
+        return rows, node - ((1 << self.depth) - 1), score
+
+
+def _flips(margins: np.ndarray, n_probes: int, min_flip: int, multi: bool) -> list[tuple[int, ...]]:
+    """The sets of levels to turn, the empty one first."""
+    levels = sorted(range(min_flip, len(margins)), key=lambda i: (margins[i], i))
+    if not multi:
+        return [(), *((i,) for i in levels[:n_probes])]
+    out: list[tuple[int, ...]] = [()]
+    queue = [(float(margins[levels[0]]), (0,))] if levels else []
+    while queue and len(out) <= n_probes:
+        cost, places = heapq.heappop(queue)
+        out.append(tuple(levels[i] for i in places))
+        last = places[-1]
+        if last + 1 < len(levels):
+            step = float(margins[levels[last + 1]])
+            heapq.heappush(queue, (cost + step, (*places, last + 1)))
+            heapq.heappush(queue, (cost + step - float(margins[levels[last]]), (*places[:-1], last + 1)))
+    return out
 
 
 def calibrate(forest: Forest, sample: np.ndarray, med_depth: int, least: int = 8) -> np.ndarray:

@@ -41,9 +41,9 @@ def probes(queries: DataFrame, forest: Forest, n_probes: int = 0, span: int | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(q, t, leaf, score) for q, x in zip(batch.column(0).to_pylist(), _rows(batch.column(1)) if batch.num_rows else [], strict=True) for t in range(forest.n_trees) for leaf, score in forest.probe(x, t, n_probes, min_flip, multi)]
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["qid", "tree", "leaf", "score"])
+            for t in range(forest.n_trees if batch.num_rows else 0):
+                rows, leaves, scores = forest.probe(_rows(batch.column(1)), t, n_probes, min_flip, multi)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), t, np.int32)), pa.array(leaves.astype(np.int32)), pa.array(scores)], ["qid", "tree", "leaf", "score"])
 
     return queries.select("id", "vec").mapInArrow(run, PROBES)
 

@@ -39,11 +39,12 @@ def test_medians_balance_leaves():
 
 
 def test_probes_are_distinct_and_start_at_the_main_leaf():
-    main = F.route(X[:1])[0]
+    main = F.route(X[:5])
     for t in range(3):
-        single, multi = F.probe(X[0], t, 4), F.probe(X[0], t, 20, multi=True)
-        assert single[0][0] == multi[0][0] == main[t] and len(single) == 5 and len(multi) == 21
-        assert len({leaf for leaf, _ in multi}) == 21
-        assert len(F.probe(X[0], t, 9, min_flip=4)) == 3
+        for options, n in (((4,), 5), ((20, 0, True), 21), ((9, 4), 3)):
+            rows, leaves, scores = F.probe(X[:5], t, *options)
+            first = np.searchsorted(rows, np.arange(5))
+            assert (np.bincount(rows) == n).all() and (leaves[first] == main[:, t]).all() and (scores >= 0).all()
+            assert all(len(set(leaves[rows == r])) == n for r in range(5))
     with pytest.raises(ValueError):
         Forest(depth=29)
