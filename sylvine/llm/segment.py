@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 from sylvine.llm.text import BASE, BYTE, INVERSE, blocks, mix, powers, text_bytes
 
 OFFSET, POWER, SAMPLES, SEED = 10.0, 1.0, 2, 1
-CHUNK = 6 << 20
+CHUNK = 1 << 20
 SPACE = "▁"
-LARGEST = 38.0
+LARGEST, KEPT = 38.0, 2_000_000
 
 
 def _hash(buf: np.ndarray) -> np.ndarray:
@@ -82,6 +82,7 @@ class Vocabulary:
             rows.sort()
             ids = np.array([i for _, i in rows])
             self.tables[size] = (np.array([h for h, _ in rows], np.uint64), ids, np.array([weights[i] for i in ids.tolist()]))
+        self.kept, self.places = None, {}
         flat = b"".join(self.bytes)
         self.flat = np.frombuffer(flat, np.uint8)
         self.size = np.array([len(x) for x in self.bytes])
@@ -94,8 +95,26 @@ class Vocabulary:
         cut[at[:-1][at[:-1] < len(buf)]] = True
         return np.flatnonzero(cut)
 
-    def lattice(self, buf: np.ndarray, sizes: np.ndarray) -> Lattice:
-        return Lattice(self, buf, sizes)
+    def lattice(self, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """A lattice that has all the parts, and each part's place in it. Parts of earlier batches are kept up to KEPT edges."""
+        sums = _hash(buf)
+        with np.errstate(over="ignore"):
+            h = mix((sums[starts + sizes] - sums[starts]) * powers(INVERSE, len(buf) + 1)[starts] + sizes.astype(np.uint64))
+        distinct, where, kind = np.unique(h, return_index=True, return_inverse=True)
+        if self.kept is None or len(self.kept.to) > KEPT:
+            self.kept, self.places = None, {}
+        place = np.array([self.places.get(x, -1) for x in distinct.tolist()], np.int64)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh) or self.kept is None:
+            size = sizes[where[fresh]]
+            stop = np.cumsum(size)
+            own = buf[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(starts[where[fresh]] - stop + size, size)]
+            new = Lattice(self, own, size)
+            n = len(self.kept.start) if self.kept else 0
+            self.kept = self.kept.extended(new) if self.kept else new
+            place[fresh] = np.arange(n, n + len(fresh))
+            self.places.update(zip(distinct[fresh].tolist(), place[fresh].tolist(), strict=True))
+        return self.kept, place[kind]
 
 
 class Lattice:
@@ -120,15 +139,18 @@ class Lattice:
                 slot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                 hit = hashes[slot] == h
                 pos, slot = pos[hit], slot[hit]
-                src.append(pos), dst.append(pos + size), ids.append(own_ids[slot]), weights.append(own_weights[slot])
+                src.append(pos.astype(np.int32)), dst.append((pos + size).astype(np.int32)), ids.append(own_ids[slot].astype(np.int32)), weights.append(own_weights[slot])
                 single[pos[width[pos] == size]] = True
+        del sums
         owner = np.maximum.accumulate(np.where(lead, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-        spelt = np.flatnonzero(~single[owner] | (~lead & (owner == 0) & ~lead[0])) if n else owner
-        src.append(spelt), dst.append(spelt + 1), ids.append(vocabulary.of_byte[buf[spelt]]), weights.append(vocabulary.byte_weight[buf[spelt]])
+        spelt = np.flatnonzero(~single[owner] | (~lead & (owner == 0) & ~lead[0])).astype(np.int32) if n else owner
+        # Sizes ascend, so a stable sort by source leaves each source's edges in order of their ends.
+        src, dst, ids, weights = [spelt, *src], [spelt + 1, *dst], [vocabulary.of_byte[buf[spelt]].astype(np.int32), *ids], [vocabulary.byte_weight[buf[spelt]], *weights]
         src, dst, ids, weights = (np.concatenate(x) for x in (src, dst, ids, weights))
-        step = (end[part[src]] - src) if len(src) else src
-        order = np.lexsort((dst, src))
-        src, dst, ids, weights, step = src[order], dst[order], ids[order], weights[order], step[order]
+        order = np.argsort(src, kind="stable")
+        src, dst, ids, weights = src[order], dst[order], ids[order], weights[order]
+        del order
+        step = (end[part[src]] - src).astype(np.int32) if len(src) else src
         shift = part[src] if len(src) else src
         self.start = np.cumsum(sizes) - sizes + np.arange(len(sizes))
         self.end = end + np.arange(len(sizes))
@@ -138,7 +160,7 @@ class Lattice:
         # Backward sums, from the parts' ends on: nodes at the same distance from the end together.
         back = np.full(nodes, -np.inf)
         back[self.end] = 0
-        by_step = np.argsort(step, kind="stable")
+        by_step = np.argsort(step.astype(np.uint16) if step.max(initial=0) < 65536 else step, kind="stable")
         bound = np.searchsorted(step[by_step], np.arange(int(step.max(initial=0)) + 2))
         total = np.zeros(len(src))
         node = src + shift
@@ -158,6 +180,16 @@ class Lattice:
             self.share = np.where(total == -np.inf, -np.inf, total - back[node])  # log of the conditional probability
         self.prob = np.exp(self.share)
 
+    def extended(self, other: Lattice) -> Lattice:
+        """This lattice with another's parts after its own."""
+        out = object.__new__(Lattice)
+        nodes, edges = len(self.first) - 1, len(self.to)
+        for name, shift in (("start", nodes), ("end", nodes), ("to", nodes), ("id", 0), ("share", 0), ("prob", 0)):
+            own, new = getattr(self, name), getattr(other, name)
+            setattr(out, name, np.concatenate([own, new + shift if shift else new]))
+        out.first = np.concatenate([self.first[:-1], other.first + edges])
+        return out
+
     def walk(self, node: np.ndarray, stop: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to its part's end by draws: all edges, walk after walk, and how many each walk has."""
         active = np.flatnonzero(node < stop)
@@ -250,14 +282,7 @@ def sample(vocabulary: Vocabulary, buf: np.ndarray, at: np.ndarray, keys: np.nda
     """For each row of bytes up to k samples (ids, log_prob, log_inclusion); keys are the rows' hashes."""
     starts = vocabulary.parts(buf, at)
     sizes = np.diff(np.append(starts, len(buf)))
-    with np.errstate(over="ignore"):
-        sums = _hash(buf)
-        h = mix((sums[starts + sizes] - sums[starts]) * powers(INVERSE, len(buf) + 1)[starts] + sizes.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
-    _, where, kind = np.unique(h, return_index=True, return_inverse=True)
-    size_one = sizes[where]
-    stop = np.cumsum(size_one)
-    own = buf[np.arange(int(stop[-1])) + np.repeat(starts[where] - stop + size_one, size_one)] if len(where) else buf[:0]
-    lattice = vocabulary.lattice(own, size_one)
+    lattice, kind = vocabulary.lattice(buf, starts, sizes)
     first = np.searchsorted(starts, at)
     row_of = np.repeat(np.arange(len(at) - 1), np.diff(first))
     local = np.arange(len(starts)) - first[row_of] if len(starts) else starts
@@ -386,18 +411,19 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
         v = vocabulary_of(model)
         for batch in batches:
             raw, at = text_bytes(batch.column(place))
-            ids, at = np.ascontiguousarray(raw).view("<u2").astype(np.int64), at // 2
-            size = v.size[ids]
-            stop = np.cumsum(size)
-            flat = v.flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(v.begin[ids] - stop + size, size)]
-            bound = np.concatenate([[0], stop])[at]
-            drop = bound[:-1][(np.diff(bound) > 0)]
-            drop = drop[flat[drop] == 32]
-            keep = np.ones(len(flat), bool)
-            keep[drop] = False
-            gone = np.concatenate([[0], np.cumsum(~keep)])
-            bound = bound - gone[bound]
-            text = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(bound.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat[keep]))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], [*batch.schema.names, "text"])
+            for i, j in blocks(at, 1 << 19):
+                own = at[i : j + 1]
+                ids, cut = np.ascontiguousarray(raw[own[0] : own[-1]]).view("<u2").astype(np.int32), (own - own[0]) // 2
+                size = v.size[ids]
+                stop = np.cumsum(size)
+                flat = v.flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(v.begin[ids] - stop + size, size)]
+                bound = np.concatenate([[0], stop])[cut]
+                drop = bound[:-1][(np.diff(bound) > 0)]
+                drop = drop[flat[drop] == 32]
+                keep = np.ones(len(flat), bool)
+                keep[drop] = False
+                bound = bound - np.searchsorted(drop, bound)
+                text = pa.Array.from_buffers(pa.large_string(), j - i, [None, pa.py_buffer(bound.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat[keep]))])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, text.cast(pa.string())], [*batch.schema.names, "text"])
 
     return df.mapInArrow(run, df.withColumn("text", F.lit("")).schema)
