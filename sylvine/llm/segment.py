@@ -385,18 +385,21 @@ def encode(docs: DataFrame, model: str, k: int = SAMPLES, id_col="doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(model, offset, power)
-        for batch in batches:
-            buf, at = text_bytes(batch.column(2))
-            keys = batch.column(1).to_numpy().view(np.uint64)
-            for i, j in blocks(at, CHUNK):
-                own = at[i : j + 1]
-                got = sample(vocabulary, *_prefixed(buf[own[0] : own[-1]], own - own[0]), keys[i:j], k)
-                row = np.repeat(np.arange(i, j), [len(x) for x in got])
-                flat = [y for x in got for y in x]
-                sizes = np.array([len(y[0]) for y in flat], np.int64)
-                data = np.concatenate([y[0] for y in flat]).astype("<u2")
-                ids = pa.Array.from_buffers(pa.large_binary(), len(flat), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]) * 2), pa.py_buffer(data)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([s for x in got for s in range(1, len(x) + 1)], pa.int32()), pa.array(sizes), pa.array([y[1] for y in flat], pa.float64()), pa.array([y[2] for y in flat], pa.float64()), ids], ["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids"])
+        try:
+            for batch in batches:
+                buf, at = text_bytes(batch.column(2))
+                keys = batch.column(1).to_numpy().view(np.uint64)
+                for i, j in blocks(at, CHUNK):
+                    own = at[i : j + 1]
+                    got = sample(vocabulary, *_prefixed(buf[own[0] : own[-1]], own - own[0]), keys[i:j], k)
+                    row = np.repeat(np.arange(i, j), [len(x) for x in got])
+                    flat = [y for x in got for y in x]
+                    sizes = np.array([len(y[0]) for y in flat], np.int64)
+                    data = np.concatenate([y[0] for y in flat]).astype("<u2")
+                    ids = pa.Array.from_buffers(pa.large_binary(), len(flat), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]) * 2), pa.py_buffer(data)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([s for x in got for s in range(1, len(x) + 1)], pa.int32()), pa.array(sizes), pa.array([y[1] for y in flat], pa.float64()), pa.array([y[2] for y in flat], pa.float64()), ids], ["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids"])
+        finally:  # an idle worker is kept; its lattice needn't be
+            vocabulary.kept, vocabulary.places = None, {}
 
     kind = docs.schema[id_col].dataType.simpleString()
     x = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(text_col).cast("string").alias("text"))
