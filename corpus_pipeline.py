@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the runner writes as Parquet and rereads as the next
 stage's docs. All but the last return the columns of documents. Rows without an id can't be joined with decisions about
-them, so near-duplicate removal and the mixture keep them as they are.
+them, so near-duplicate removal keeps them as they are; the mixture repeats and samples them like any other row.
 """
 
 from __future__ import annotations
@@ -57,12 +57,12 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and samples documents so that the sources come to their shares; each copy is a row."""
-    mixed = mixing.mix(docs, scratch=_scratch(spark, "mixing"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    mixed = mixing.mix(row, carry="row", scratch=_scratch(spark, "mixing"))
     # A document cut at its source's target is kept whole here, and one without words is no word of the mix.
-    times = mixed.select(F.col("doc_id").alias("of"), F.ceil(F.col("taken") / F.expr("nullif(size, 0)")).cast("int").alias("times")).where("times > 0")
-    times = times.groupBy("of").agg(F.max("times").alias("times"))
-    x = docs.join(times, F.col("doc_id") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return x.select(*docs.columns)
+    times = F.ceil(F.col("taken") / F.expr("nullif(size, 0)")).cast("int")
+    x = mixed.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return x.select(*[F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def segment_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

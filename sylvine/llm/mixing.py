@@ -50,12 +50,13 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return x.withColumn("target", F.when(full, F.lit(float(most)) * F.col("source_size")).otherwise(F.col("weight") * F.col("level"))).drop("all_size", "free_weight", "held", "ratio", "place")
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED, bins=BINS, scratch: Scratch | None = None) -> DataFrame:
-    """One row a document: its id (as doc_id), size, source, source_size, target, copies (whole ones, certain) and taken (words)."""
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED, bins=BINS, carry: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """One row a document: its id (as doc_id), size, source, source_size, target, copies (whole ones, certain) and taken (words); and the column `carry`."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     unit = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), unit.alias("unit"))
+    more = [F.col(carry).alias("carried")] if carry else []
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), unit.alias("unit"), *more)
     sized = scratch.table(sized.withColumn("w", F.floor(F.sqrt("size") * 16)), "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("mass"))
     goal = targets(sums, weights, share, most)
@@ -71,6 +72,8 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     by_bin = x.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     by_bin = by_bin.select(F.col("source").alias("of"), F.col("bin").alias("in_bin"), "words", before.alias("words_before"))
+    # As a table its size is known, so that carried rows are joined with it where they are.
+    by_bin = scratch.table(by_bin, "bins") if carry else by_bin
     x = x.join(by_bin, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("in_bin"))).drop("of", "in_bin")
     whole = F.col("words_before") + F.col("words") <= F.col("missing")
     none = F.col("words_before") >= F.col("missing")
@@ -79,7 +82,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     at_cut = at_cut.withColumn("rest", F.col("missing") - F.col("words_before") - F.coalesce(F.sum("size").over(cut), F.lit(0)))
     at_cut = at_cut.withColumn("extra", F.greatest(F.lit(0), F.least("size", "rest"))).drop("rest")
     x = x.where(whole | none).withColumn("extra", F.when(whole, F.col("size")).otherwise(F.lit(0))).unionByName(at_cut)
-    return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "source", "copies")
+    return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "source", "copies", *[c for c in ["carried"] if carry])
 
 
 ORACLE = f"""
