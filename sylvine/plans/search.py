@@ -13,9 +13,11 @@ from sylvine.plans import knobs
 
 @dataclass(frozen=True)
 class SearchSpec:
+    """n_probes None: every leaf, whatever the depth."""
+
     top_k: int = 10
     top_n: int = 4000
-    n_probes: int = 5
+    n_probes: int | None = 5
     probe_span: int | None = None
     multi_flip: bool = False
     top_paths: int = 0
@@ -27,11 +29,16 @@ class SearchSpec:
         if self.top_k <= 0 or self.top_n <= 0:
             raise ValueError("top_k and top_n must be positive")
 
+    def probes(self, queries: DataFrame, forest: Forest) -> DataFrame:
+        if self.n_probes is None:
+            return V.probes(queries, forest, (1 << forest.depth) - 1, multi=True)
+        return V.probes(queries, forest, self.n_probes, self.probe_span, self.multi_flip)
+
 
 def candidates(queries: DataFrame, posted: DataFrame, forest: Forest, spec: SearchSpec, allowed: DataFrame | None = None, tombstones: DataFrame | None = None, probed: DataFrame | None = None) -> DataFrame:
     """Rows qid, doc_id, votes: the best by votes. probed replaces routing, e.g. with leaves that a client computed itself."""
     if probed is None:
-        probed = V.probes(queries, forest, spec.n_probes, spec.probe_span, spec.multi_flip)
+        probed = spec.probes(queries, forest)
     probed = V.top_paths(probed, spec.top_paths)
     if spec.max_leaf_docs is not None:
         probed = V.capped(probed, V.leaf_sizes(posted), spec.max_leaf_docs)

@@ -71,7 +71,7 @@ def _index(spark: SparkSession, d: str) -> LiveIndex:
 
 
 def live_search(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(_index(spark, d).search(asked(spark, d), SearchSpec(n_probes=63, multi_flip=True, top_n=100_000)))
+    return tidy(_index(spark, d).search(asked(spark, d), SearchSpec(n_probes=None, top_n=100_000)))
 
 
 def pattern_search(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def pattern_search(spark: SparkSession, d: str) -> DataFrame:
         index = catalog.create(name, SMALL)
         index.insert(x.where(F.col("id") % 3 == i))
         index.freeze()
-    found = catalog.search("docs-*", asked(spark, d), SearchSpec(n_probes=63, multi_flip=True, top_n=100_000))
+    found = catalog.search("docs-*", asked(spark, d), SearchSpec(n_probes=None, top_n=100_000))
     return found.select("qid", F.col("rank").cast("long").alias("rank"), "index", "doc_id", F.round("dist", 6).alias("dist"))
 
 
