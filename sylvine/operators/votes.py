@@ -141,8 +141,10 @@ def votes(probed: DataFrame, posted: DataFrame, depth: int, query_depth: int = 0
     return x.groupBy("qid", "doc_id").agg(count.alias("votes"))
 
 
-def top_n(counted: DataFrame, n: int) -> DataFrame:
-    """The n documents with most votes of each query, ties to the smaller id."""
+def top_n(counted: DataFrame, n: int | None) -> DataFrame:
+    """The n documents with most votes of each query, ties to the smaller id; all if n is None."""
+    if n is None:
+        return counted
     order = W.partitionBy("qid").orderBy(F.desc("votes"), "doc_id")
     return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 

@@ -13,10 +13,10 @@ from sylvine.plans import knobs
 
 @dataclass(frozen=True)
 class SearchSpec:
-    """n_probes None: every leaf, whatever the depth."""
+    """n_probes None: every leaf, whatever the depth. top_n None: every document with votes is a candidate."""
 
     top_k: int = 10
-    top_n: int = 4000
+    top_n: int | None = 4000
     n_probes: int | None = 5
     probe_span: int | None = None
     multi_flip: bool = False
@@ -26,7 +26,7 @@ class SearchSpec:
     metric: str = "l2"
 
     def __post_init__(self):
-        if self.top_k <= 0 or self.top_n <= 0:
+        if self.top_k <= 0 or self.top_n is not None and self.top_n <= 0:
             raise ValueError("top_k and top_n must be positive")
 
     def probes(self, queries: DataFrame, forest: Forest) -> DataFrame:
@@ -34,6 +34,11 @@ class SearchSpec:
             return V.probes(queries, forest, (1 << forest.depth) - 1, multi=True)
         return V.probes(queries, forest, self.n_probes, self.probe_span, self.multi_flip)
 
+    @property
+    def whole(self) -> bool:
+        """Whether every document in the postings is a candidate of every query, so that blocks of them can be ranked at once."""
+        return self.n_probes is None and self.top_n is None and self.top_paths <= 0 and self.max_leaf_docs is None
+
 
 def candidates(queries: DataFrame, posted: DataFrame, forest: Forest, spec: SearchSpec, allowed: DataFrame | None = None, tombstones: DataFrame | None = None, probed: DataFrame | None = None) -> DataFrame:
     """Rows qid, doc_id, votes: the best by votes. probed replaces routing, e.g. with leaves that a client computed itself."""
@@ -46,8 +51,18 @@ def candidates(queries: DataFrame, posted: DataFrame, forest: Forest, spec: Sear
     return V.top_n(counted.join(queries.select(F.col("id").alias("doc_id"), F.col("id").alias("qid")), ["qid", "doc_id"], "left_anti"), spec.top_n)
 
 
+def _candidates_of_all(corpus: DataFrame, posted: DataFrame, allowed: DataFrame | None = None, tombstones: DataFrame | None = None) -> DataFrame:
+    """The vectors that get a vote from every query that probes all leaves."""
+    x = corpus.join(posted.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    x = x if allowed is None else x.join(allowed.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return x if tombstones is None else x.join(tombstones.select(F.col("doc_id").alias("id")), "id", "left_anti")
+
+
 def search(queries: DataFrame, corpus: DataFrame, posted: DataFrame, forest: Forest, spec: SearchSpec = SearchSpec(), **filters) -> DataFrame:
     """Rows qid, doc_id, dist, rank; a query isn't its own neighbour. All tables are (id, vec)."""
+    if spec.whole and filters.get("probed") is None:
+        own = _candidates_of_all(corpus, posted, filters.get("allowed"), filters.get("tombstones"))
+        return knn.exact(queries, own, spec.top_k, spec.metric)
     return knn.rerank(candidates(queries, posted, forest, spec, **filters), queries, corpus, spec.top_k, spec.metric)
 
 
@@ -66,7 +81,7 @@ def filtered(queries: DataFrame, corpus: DataFrame, posted: DataFrame, forest: F
     if mode != "post":
         raise ValueError(f"unknown filter mode {mode!r}")
     wide, top_n = knobs.oversample(spec.top_k, card / max(1, n), spec.top_n)
-    found = search(queries, corpus, posted, forest, replace(spec, top_k=wide, top_n=max(top_n, wide)))
+    found = search(queries, corpus, posted, forest, replace(spec, top_k=wide, top_n=None if spec.top_n is None else max(top_n, wide)))
     return knn.top_k(found.drop("rank").join(allowed, "doc_id", "left_semi").select("qid", "doc_id", "dist"), spec.top_k)
 
 

@@ -71,7 +71,7 @@ def _index(spark: SparkSession, d: str) -> LiveIndex:
 
 
 def live_search(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(_index(spark, d).search(asked(spark, d), SearchSpec(n_probes=None, top_n=100_000)))
+    return tidy(_index(spark, d).search(asked(spark, d), SearchSpec(n_probes=None, top_n=None)))
 
 
 def pattern_search(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def pattern_search(spark: SparkSession, d: str) -> DataFrame:
         index = catalog.create(name, SMALL)
         index.insert(x.where(F.col("id") % 3 == i))
         index.freeze()
-    found = catalog.search("docs-*", asked(spark, d), SearchSpec(n_probes=None, top_n=100_000))
+    found = catalog.search("docs-*", asked(spark, d), SearchSpec(n_probes=None, top_n=None))
     return found.select("qid", F.col("rank").cast("long").alias("rank"), "index", "doc_id", F.round("dist", 6).alias("dist"))
 
 
@@ -170,8 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f1_allowed_votes": lambda s, d: _votes(s, d, allowed=labels_of(s, d).where("label = 3")),
     "f4_tombstoned_votes": lambda s, d: _votes(s, d, tombstones=labels_of(s, d).where("doc_id % 17 = 0")),
     "f6_density": lambda s, d: labels_of(s, d).agg((F.count_if(F.expr("category IN ('c1', 'c2') AND year < 2020")) / F.count("*")).alias("density")),
-    "f7_post_filter": lambda s, d: tidy(S.filtered(asked(s, d), corpus(s, d), V.postings(corpus(s, d), SMALL), SMALL, labels_of(s, d), "label < 8", SearchSpec(n_probes=63, multi_flip=True, top_n=100_000), mode="post")),
-    "f8_pre_filter": lambda s, d: tidy(S.filtered(asked(s, d), corpus(s, d), V.postings(corpus(s, d), SMALL), SMALL, labels_of(s, d), "label < 5", SearchSpec(n_probes=63, multi_flip=True, top_n=100_000), mode="pre")),
+    "f7_post_filter": lambda s, d: tidy(S.filtered(asked(s, d), corpus(s, d), V.postings(corpus(s, d), SMALL), SMALL, labels_of(s, d), "label < 8", SearchSpec(n_probes=None, top_n=None), mode="post")),
+    "f8_pre_filter": lambda s, d: tidy(S.filtered(asked(s, d), corpus(s, d), V.postings(corpus(s, d), SMALL), SMALL, labels_of(s, d), "label < 5", SearchSpec(n_probes=None, top_n=None), mode="pre")),
     "f11_brute_filter": lambda s, d: tidy(S.filtered(asked(s, d), corpus(s, d), V.postings(corpus(s, d), SMALL), SMALL, labels_of(s, d), "label = 3", mode="brute")),
     "f12_results_metadata": lambda s, d: tidy(knn.exact(asked(s, d), corpus(s, d), 5)).join(labels_of(s, d), "doc_id").select("qid", "rank", "doc_id", "category"),
     "f14_bitmaps": lambda s, d: M.bitmaps(described(s, d), "doc_id", "source").groupBy("category").agg(F.sum("n").alias("n")),

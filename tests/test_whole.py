@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvine import queries
-from sylvine.operators import knn
+from sylvine.operators import knn, votes as V
+from sylvine.plans import search as S
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -21,3 +22,26 @@ def rows(found):
 @pytest.mark.parametrize("name,where", [("m4_live_search", "id % 17 <> 0"), ("x3_pattern_search", "id % 3 < 2")])
 def test_deep_segments_are_probed_whole(spark, name, where):
     assert rows(queries.QUERIES[name](spark, LARGER)) == truth(spark, LARGER, where, self_too=True)
+
+
+@pytest.mark.parametrize("name,where,self_too", [("m4_live_search", "id % 17 <> 0", True), ("x3_pattern_search", "id % 3 < 2", True), ("f8_pre_filter", "label < 5", False), ("f7_post_filter", "label < 8", False)])
+def test_no_cut_stands_in_for_all_candidates(spark, small, monkeypatch, name, where, self_too):
+    real = V.top_n
+    # Any cut a thousandth as large: 100,000 becomes 100 of 500 vectors.
+    monkeypatch.setattr(V, "top_n", lambda counted, n: real(counted, n and max(1, n // 1000)))
+    x, q = queries.corpus(spark, small), queries.asked(spark, small)
+    label = queries.labels_of(spark, small).select(F.col("doc_id").alias("id"), "label")
+    if name == "f7_post_filter":  # the filter acts on the 20 nearest
+        near = knn.exact(q, x, 20).drop("rank").join(label.where(where).withColumnRenamed("id", "doc_id"), "doc_id")
+        want = rows(queries.tidy(knn.top_k(near.select("qid", "doc_id", "dist"), 10)))
+    else:
+        want = rows(queries.tidy(knn.exact(q, x.join(label, "id").where(where).select("id", "vec"), 10, include_self=self_too)))
+    assert rows(queries.QUERIES[name](spark, small)) == want
+
+
+def test_no_cut_with_few_probes_keeps_all_voted(spark, small):
+    x, q = queries.corpus(spark, small), queries.asked(spark, small)
+    posted = V.postings(x, queries.SMALL)
+    found = S.candidates(q, posted, queries.SMALL, S.SearchSpec(n_probes=0, top_n=None))
+    voted = V.votes(V.probes(q, queries.SMALL), posted, 4).where("qid <> doc_id")
+    assert found.select("qid", "doc_id", "votes").exceptAll(voted).isEmpty() and found.count() == voted.count()
