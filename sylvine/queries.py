@@ -96,14 +96,18 @@ def _votes(spark, d, forest=SMALL, **options):
 
 
 def _candidates(spark, d):
+    """Half of the table by votes, and how many of them the quantised scores are to keep: these vectors are random directions,
+    so a fixed number of candidates would hold ever fewer of the true neighbours as the table grows."""
     x, q = corpus(spark, d), asked(spark, d)
-    return S.candidates(q, V.postings(x, WIDE), WIDE, SearchSpec(n_probes=0, top_n=200)).select("qid", "doc_id"), q, x
+    n = x.count()
+    spec = SearchSpec(n_probes=0, top_n=max(200, -(-n // 2)))
+    return S.candidates(q, V.postings(x, WIDE), WIDE, spec).select("qid", "doc_id"), q, x, max(100, -(-n // 10))
 
 
 def _quantised(bits: int):
     def run(spark, d):
-        found, q, x = _candidates(spark, d)
-        return tidy(knn.rerank(quantise.select(found, q, quantise.encode(x, bits), 100, bits), q, x))
+        found, q, x, kept = _candidates(spark, d)
+        return tidy(knn.rerank(quantise.select(found, q, quantise.encode(x, bits), kept, bits), q, x))
 
     return run
 

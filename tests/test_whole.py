@@ -45,3 +45,10 @@ def test_no_cut_with_few_probes_keeps_all_voted(spark, small):
     found = S.candidates(q, posted, queries.SMALL, S.SearchSpec(n_probes=0, top_n=None))
     voted = V.votes(V.probes(q, queries.SMALL), posted, 4).where("qid <> doc_id")
     assert found.select("qid", "doc_id", "votes").exceptAll(voted).isEmpty() and found.count() == voted.count()
+
+
+@pytest.mark.parametrize("name", ["d6_tq4_rerank", "d7_tq1_rerank"])
+def test_quantised_searches_hold_their_recall_as_the_table_grows(spark, small, name):
+    for d in (small, LARGER):
+        x, q = queries.corpus(spark, d), queries.asked(spark, d)
+        assert knn.recall(queries.QUERIES[name](spark, d), knn.exact(q, x, 10), 10).first().recall >= 0.9
