@@ -15,6 +15,13 @@ from sylvine.scratch import Scratch
 
 PERCENT = 80  # near-duplicates from a similarity of 0.8
 ORACLE_SQL = None  # trained models, hashes and suffix arrays are beyond SQL; the stages are tested against brute force
+# What lies between the spans, each piece without the bytes of characters cut through at its ends.
+PIECES = r"""transform(
+  zip_with(concat(array(0L), spans.end), concat(spans.start, array(n_bytes)), (a, b) -> substring(CAST(carried.text AS BINARY), CAST(a + 1 AS INT), CAST(b - a AS INT))),
+  p -> CAST(substring(p,
+    1 + length(regexp_extract(hex(substring(p, 1, 3)), '^(?:[89AB].)*', 0)) DIV 2,
+    length(p) - length(regexp_extract(hex(substring(p, 1, 3)), '^(?:[89AB].)*', 0)) DIV 2
+      - length(regexp_extract(hex(substring(p, -3, 3)), '(?:[CDEF].|E.[89AB].|F.(?:[89AB].){1,2})$', 0)) DIV 2) AS STRING))"""
 _last: list[Scratch] = []
 
 
@@ -49,7 +56,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
     cut = suffix.dedup(row, carry="row", scratch=_scratch(spark, "suffix"))
     touched = F.col("n_removed") > 0
-    text = F.when(touched, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).otherwise(F.col("carried.text"))
+    text = F.when(touched, F.make_valid_utf8(F.array_join(F.expr(PIECES), ""))).otherwise(F.col("carried.text"))
     cut = cut.select("carried.*", text.alias("new_text"), touched.alias("touched"))
     values = {"text": F.col("new_text"), "n_chars": F.when(F.col("touched"), F.length("new_text").cast("long")).otherwise(F.col("n_chars"))}
     return cut.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])

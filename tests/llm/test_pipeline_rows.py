@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -36,3 +37,43 @@ def test_mixture_repeats_rows_without_an_id(spark):
     goals = {r.source: r.target for r in mixing.mix(docs).collect()}
     assert all(0 <= taken[s] - math.floor(g) <= 13 for s, g in goals.items())  # at most one document is kept beyond its cut
     assert sum(n for (i, _, _), n in got.items() if i is None) > 0
+
+
+def brute_cut(texts, length=200):
+    """Texts without the passages of `length` bytes that repeat; characters cut through lose their rest."""
+    raw, seen = [(t or "").encode() for t in texts], Counter()
+    for b in raw:
+        seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+    out = []
+    for t, b in zip(texts, raw, strict=True):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        pieces, piece = [], bytearray()
+        for x, g in zip(b, gone, strict=True):
+            if g:
+                pieces.append(piece)
+                piece = bytearray()
+            else:
+                piece.append(x)
+        out.append("".join(bytes(p).decode("utf-8", "ignore") for p in [*pieces, piece]) if gone.any() else t)
+    return out
+
+
+def test_suffix_stage_cuts_passages_and_keeps_replacement_characters(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = word(260)
+    rows = [(1, "\ufffd far " + word(50) + passage + word(40) + " tail \ufffd", "a"), (2, passage + word(80), "a"), (None, word(90) + passage + "\ufffd", "b"), (3, "\ufffd untouched", "a"), (4, None, None), (5, "", "b")]
+    # Neighbours that differ in one byte of a character, before and behind a passage, so that cuts go through characters.
+    for n, (x, y) in enumerate((("é", "è"), ("€", "₭"), ("\U0001f600", "\U0001f601"), ("éé", "ée"))):
+        own = word(230)
+        for i, (before, behind) in enumerate(((x, x), (y, y), (x[::-1], y))):
+            rows.append((10 * n + 10 + i, word(30) + before + own + behind + word(30) + "\ufffd", "a"))
+    own = "\u0103" + word(210) + "é"  # leads of other characters with the same last byte, and lasts of the same lead
+    rows += [(80, word(9) + own + word(9), "a"), (81, word(9) + "\u0143" + own[1:-1] + "è" + word(9), "a"), (82, passage, "a"), (83, passage, None)]
+    got = Counter((r.doc_id, r.text, r.source, r.n_chars) for r in corpus_pipeline.suffix_stage(spark, table(spark, rows), "").collect())
+    want = brute_cut([t for _, t, _ in rows])
+    assert got == Counter((i, w, s, None if w is None else len(w)) for (i, _, s), w in zip(rows, want, strict=True))
+    assert sum(w != t for (_, t, _), w in zip(rows, want, strict=True)) > 10 and want[0].count("\ufffd") == 2
