@@ -65,8 +65,15 @@ def test_repeats_of_pieces_and_their_stretches():
         parts.append(x)
     buf, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
     valid = np.arange(len(buf)) + 50 <= np.repeat(np.cumsum(sizes), sizes)
-    assert (suffix.repeats(buf, sizes, 50) == suffix._repeats_by_hash(buf, valid, 50)).all()
-    assert (suffix.repeats(np.arange(2560).astype(np.uint8), np.array([2560]), 200)[:2361]).all()  # every byte value, period 256
+    spot = np.arange(len(buf)) + np.repeat(np.arange(len(sizes)), sizes)
+    t = np.zeros(len(buf) + len(sizes), np.uint8)
+    t[spot] = buf
+    strings = [buf[i : i + 50].tobytes() for i in range(len(buf))]
+    seen = {}
+    for i in np.flatnonzero(valid).tolist():
+        seen[strings[i]] = seen.get(strings[i], 0) + 1
+    assert (suffix.repeats(t, 50)[spot][valid] == [seen[strings[i]] > 1 for i in np.flatnonzero(valid).tolist()]).all()
+    assert suffix.repeats(np.append(np.tile(np.arange(1, 400), 6), 0).astype(np.uint16), 200)[:2195].all()  # more symbols than bytes have values
     row, begin, count, h, e = suffix.stretches(buf, np.concatenate([[0], np.cumsum(sizes)]), 50, 16)
     assert count.sum() == valid.sum() and count.max() <= 35
 

@@ -81,29 +81,64 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in [*range(100, 120), 200]}
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_suffix_equals_brute_force(spark, hot):
-    rng = np.random.default_rng(4)
-    passage, line = "".join(rng.choice(list("abcde "), 320)), "".join(rng.choice(list("xyz "), 90))
-    rows = [(i, "".join(rng.choice(list("abcdefgh "), 150)) + (passage if i % 2 else line) + "".join(rng.choice(list("abcdefgh "), 250))) for i in range(24)]
-    rows += [(50, passage), (51, passage + passage), (52, "ab" * 300), (53, "short"), (54, None), (55, ""), (56, "é" * 150), (57, passage), (57, passage), (None, passage[:250])]
-    got = suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
-    raw = [(i, (t or "").encode()) for i, t in rows]
-    seen = {}
+def _repeated_bytes(rows, length=200):
+    """(id, bytes, removed, spans, kept) of each row by counting all strings."""
+    raw, seen, want = [(i, (t or "").encode()) for i, t in rows], {}, []
     for _, b in raw:
-        for i in range(len(b) - 199):
-            seen[b[i : i + 200]] = seen.get(b[i : i + 200], 0) + 1
-    want = []
+        for i in range(len(b) - length + 1):
+            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
     for i, b in raw:
         gone = np.zeros(len(b) + 1, bool)
-        for j in range(len(b) - 199):
-            if seen[b[j : j + 200]] > 1:
-                gone[j : j + 200] = True
-        want.append((-1 if i is None else i, len(b), int(gone.sum()), int((gone[:-1] & ~np.append(False, gone[:-1])[: len(b)]).sum()), bytes(x for x, g in zip(b, gone, strict=False) if not g)))
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == sorted(want)
+        for j in range(len(b) - length + 1):
+            if seen[b[j : j + length]] > 1:
+                gone[j : j + length] = True
+        want.append((str(i), len(b), int(gone.sum()), int((gone[:-1] & ~np.append(False, gone[:-1])[: len(b)]).sum()), bytes(x for x, g in zip(b, gone, strict=False) if not g)))
+    return sorted(want)
+
+
+def _dedup_rows(df, **options):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix.dedup(df, **options).collect())
+
+
+@pytest.mark.parametrize("bound", [suffix.BOUND, 2000])
+def test_suffix_equals_brute_force(spark, bound):
+    rng = np.random.default_rng(4)
+    passage, line = "".join(rng.choice(list("abcde "), 320)), "".join(rng.choice(list("xyz "), 90))
+    rows = [(i, "".join(rng.choice(list("abcdefgh "), 150)) + (passage if i % 2 else line) + "".join(rng.choice(list("abcdefgh "), 250))) for i in range(24)]
+    rows += [(50, passage), (51, passage + passage), (52, "ab" * 300), (53, "short"), (54, None), (55, ""), (56, "é" * 150), (57, passage), (57, passage), (None, passage[:250]), (-(1 << 63), passage[50:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS r1", "'x' AS ref", "2 AS part", "3 AS n")
+    assert _dedup_rows(df, bound=bound, shard=4 * bound) == _repeated_bytes(rows)
     assert suffix.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_suffix_splits_the_group_of_a_common_line(spark):
+    """A line in every text and a passage in half of them: a shard raises if a suffix array would exceed the bound."""
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnop "))
+    draw = lambda n: "".join(letters[rng.integers(0, 17, n)])
+    line, passage = draw(150), draw(260)
+    rows = [(i if i % 5 else None, draw(120) + line + draw(130) + (passage if i % 2 else "") + draw(90)) for i in range(1500)]
+    assert _dedup_rows(spark.createDataFrame(rows, "doc_id long, text string"), bound=20_000, shard=60_000) == _repeated_bytes(rows)
+
+
+def test_suffix_tells_rows_without_an_id_apart(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdef "), 230)) for _ in range(5000)]
+    rows = [(None, t) for t in texts] + [(1, texts[0] + "x"), (1, texts[7][:210]), (1, texts[9][3:])]
+    assert _dedup_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == _repeated_bytes(rows)
+
+
+def test_suffix_of_a_row_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK", 700)
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdef "), 6000))
+    rows = [(1, long + long[1000:1500]), (2, long[5800:] + "q" * 300), (3, long[650:900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix._find(df.selectExpr("xxhash64(doc_id) AS r1", "xxhash64(text) AS r2", "text"), 200, 32)
+    assert found.selectExpr("sum(ref & 255)").first()[0] == sum(len(t) - 199 for _, t in rows)
+    assert _dedup_rows(df) == _repeated_bytes(rows)
+
+
 def test_tokens_round_trip(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
