@@ -57,9 +57,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     cut = suffix.dedup(row, carry="row", scratch=_scratch(spark, "suffix"))
     touched = F.col("n_removed") > 0
     text = F.when(touched, F.make_valid_utf8(F.array_join(F.expr(PIECES), ""))).otherwise(F.col("carried.text"))
-    cut = cut.select("carried.*", text.alias("new_text"), touched.alias("touched"))
-    values = {"text": F.col("new_text"), "n_chars": F.when(F.col("touched"), F.length("new_text").cast("long")).otherwise(F.col("n_chars"))}
-    return cut.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
+    values = {"text": text, "n_chars": F.when(touched, F.length(text).cast("long")).otherwise(F.col("carried.n_chars"))}
+    return cut.select(*[values.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +68,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # A document cut at its source's target is kept whole here, and one without words is no word of the mix.
     times = F.ceil(F.col("taken") / F.expr("nullif(size, 0)")).cast("int")
     x = mixed.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return x.select(*[F.col("carried")[c].alias(c) for c in docs.columns])
+    return x.select(*[F.col("carried").getField(c).alias(c) for c in docs.columns])
 
 
 def segment_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
