@@ -41,7 +41,7 @@ from sylvine.llm.text import BASE, BYTE, INVERSE, blocks, mix, powers, stream, t
 from sylvine.scratch import Scratch
 
 LENGTH, GRAM = 200, 32
-CHUNK, SHARD, BOUND, OVERHEAD = 1 << 20, 4 << 20, 1 << 19, 8
+CHUNK, SHARD, BOUND, OVERHEAD = 1 << 18, 4 << 20, 1 << 19, 8
 EDGE = stream(77, 256)
 SYMBOL = stream(78, 512)
 POSITION = np.uint64((1 << 24) - 1)
@@ -464,7 +464,7 @@ def _cut(length: int):
                 if got is None:
                     kept.append(text.tobytes()), spans.append([]), removed.append(0)
                     continue
-                lo, hi = got.field("lo").to_numpy(), got.field("hi").to_numpy() + length - 1
+                lo, hi = got.to_numpy() >> 8, (got.to_numpy() >> 8) + (got.to_numpy() & 0xFF) + length - 1
                 order = np.argsort(lo, kind="stable")
                 lo, hi = lo[order], np.maximum.accumulate(hi[order])
                 new = np.append(True, lo[1:] > hi[:-1])
@@ -518,8 +518,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", carry: str | None =
     found = scratch.table(_find(base.select("r1", "r2", "text"), length, gram), "stretches")
     shared = scratch.table(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     found = scratch.table(joined(found, shared, ["h"], ["r1", "r2", "ref"], found.count()), "shared")
-    kinds = found.groupBy("h", "e").agg(F.count("*").alias("n"), *[F.max(F.struct("r1", "r2", "ref")).alias("one")])
-    kinds = scratch.table(kinds.select("h", "e", "n", "one.*"), "kinds")
+    kinds = scratch.table(found.groupBy("h", "e").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("r1", "r2", "ref")]), "kinds")
     several = scratch.table(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
     asked = joined(kinds.withColumnRenamed("n", "times"), several, ["h"], ["e"], kinds.count())
 
@@ -532,10 +531,9 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", carry: str | None =
     hits = _repeated(pieces, w, bound, shard, scratch)
 
     # A stretch that comes more than once repeats as a whole, wherever it is.
-    begin, windows = F.shiftright("ref", 8), F.col("ref").bitwiseAND(F.lit(0xFF))
     whole = joined(found, kinds.where("n > 1").select("h", "e", "n"), ["h", "e"], ["r1", "r2", "ref"], found.count())
-    hits = hits.unionByName(whole.select("r1", "r2", begin.alias("lo"), (begin + windows).alias("hi")))
-    ranges = hits.groupBy(F.col("r1").alias("of1"), F.col("r2").alias("of2")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    hits = hits.select("r1", "r2", (F.shiftleft("lo", 8) + F.col("hi") - F.col("lo")).alias("range")).unionByName(whole.select("r1", "r2", F.col("ref").alias("range")))
+    ranges = hits.groupBy(F.col("r1").alias("of1"), F.col("r2").alias("of2")).agg(F.collect_set("range").alias("ranges"))
     x = texts.join(ranges, same, "left").select(F.col("id").alias("doc_id"), *[c for c in ["carried"] if carry], "text", "ranges")
     fields = T.StructType([*x.drop("text", "ranges").schema, *T.StructType.fromDDL(CUT)])
     return x.mapInArrow(_cut(length), fields)
