@@ -9,9 +9,10 @@ with 5e-8.
 Documents of equal sets are one node (its least id) from the start, found by aggregation. In a bucket only star edges are
 made: each node with one centre. Nodes that a star leaves in another component than the centre get a second star around
 the node with most confirmed links. Buckets that then still hold several components are united to clusters, and blocks of
-bounded size of a cluster are compared: pairs of different components whose signatures agree enough have their full sets
-intersected, and only a spanning forest of the links goes out, so no link between components is lost and no group gives
-more rows than it has members. Every link is confirmed on the full sets of both texts.
+bounded size of a cluster are compared: pairs of different components whose signatures agree in BINS * (similarity - SLACK)
+bins (a linked pair doesn't with a chance of 7e-12 at 0.85, 8e-11 at 0.8, less than that of sharing no bucket) have their
+full sets intersected, and only a spanning forest of the links goes out, so no group gives more rows than it has members.
+Every link is confirmed on the full sets of both texts.
 
 Null and empty texts, and those of white space only: empty set, linked with nothing. Null ids: no component, kept null.
 Rows that repeat an id are one document of both texts' links. An empty table gives an empty result. Only the named
@@ -32,7 +33,7 @@ from sylvine.scratch import Scratch
 
 WORDS, BINS, BANDS, ROWS = 5, 128, 32, 4
 CHUNK, BLOCK, BLOCK_BYTES = 2 << 20, 1024, 16 << 20
-ATTEMPTS = 1024
+ATTEMPTS, SLACK = 1024, 0.24
 DRAWS = (stream(31, BINS * ATTEMPTS).reshape(ATTEMPTS, BINS) >> np.uint64(57)).astype(np.int64)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>"
@@ -135,7 +136,7 @@ def _link(percent: int, words: int):
     Pairs that agree in too few bins are passed over; the others' intersections are counted exactly on bit sets of the
     shingles that more than one document here has.
     """
-    least = int(BINS * (percent / 100 - 0.17))
+    least = int(BINS * (percent / 100 - SLACK))
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
@@ -196,32 +197,35 @@ def group(docs: DataFrame, percent: int = 85, id_col="doc_id", text_col="text",
     nodes = full.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "signature", "bands"), "doc_id").alias("n"))
     nodes = scratch.table(nodes.select("h1", "h2", F.col("n.doc_id").alias("id"), F.col("n.signature").alias("signature"), F.col("n.bands").alias("bands")), "nodes")
     every = nodes.select("id", F.explode("bands").alias("bucket"))
-    crowded = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id").alias("p"), "id")).alias("c")).where("n > 1").select("bucket", "n", F.col("c.id").alias("centre"))
+    crowded = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
     members = scratch.table(every.join(crowded, "bucket"), "members")
+    n_members = members.count()
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = scratch.table(texts.join(wanted, "doc_id", "left_semi"), "texts")
 
-    tried = scratch.table(_pairs(members), "pairs")
-    links = scratch.table(confirm(tried, texts, percent, words), "links")
+    tried = scratch.table(_pairs(members), "pairs", n_members)
+    n_tried = tried.count()
+    links = scratch.table(confirm(tried, texts, percent, words), "links", n_tried)
 
     def labelled() -> tuple[DataFrame, DataFrame]:
-        comp = scratch.table(components(links, scratch), "components")
+        comp = scratch.table(components(links, scratch), "components", 2 * n_tried)
         m = members.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
         open_ = m.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "n")
         return comp, m.join(open_, "bucket")
 
     comp, left = labelled()
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    left = scratch.table(left.join(degree, "id", "left"), "open")
+    left = scratch.table(left.join(degree, "id", "left"), "open", n_members)
+    n_open = left.count()
     hub = left.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("id", F.lit(1)).alias("p"), "id", "comp")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.comp").alias("centre_comp"))
     more = _pairs(left.join(hub, "bucket").where("comp <> centre_comp")).join(tried, ["a", "b"], "left_anti")
-    more = scratch.table(more, "pairs")
-    links = scratch.table(links.union(confirm(more, texts, percent, words)), "links")
+    more = scratch.table(more, "pairs", n_open)
+    links = scratch.table(links.union(confirm(more, texts, percent, words)), "links", n_tried + n_open)
 
     # What is still open: buckets that hold several components, united to clusters, so that each text is compared once.
     comp, left = labelled()
-    left = scratch.table(left.select("bucket", "id", "comp"), "open")
+    left = scratch.table(left.select("bucket", "id", "comp"), "open", n_open)
     star = left.join(left.groupBy("bucket").agg(F.min("id").alias("centre")), "bucket").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     cluster = components(star, scratch).select("id", F.col("component").alias("cluster"))
     left = left.select("id", "comp").distinct().join(cluster, "id").join(nodes.select("id", "signature"), "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
@@ -230,9 +234,9 @@ def group(docs: DataFrame, percent: int = 85, id_col="doc_id", text_col="text",
     left = left.join(spread, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("spread")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
     left = left.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
     rest = left.select("cluster", "lo", "hi", "id", "comp", "block", "signature", "text").groupBy("cluster", "lo", "hi").applyInArrow(_link(percent, words), "a long, b long")
-    links = scratch.table(links.union(rest), "links")
+    links = scratch.table(links.union(rest), "links", n_tried + 2 * n_open)
 
-    comp = scratch.table(components(links, scratch), "components")
+    comp = scratch.table(components(links, scratch), "components", n_tried + 2 * n_open)
     of_set = nodes.select("h1", "h2", "id").join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("of_set"))
     x = signed.select("doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("of_set")).otherwise(F.col("doc_id"))

@@ -477,15 +477,15 @@ def _cut(length: int):
     return run
 
 
-def _repeated(pieces: DataFrame, w: int, bound: int, shard: int, scratch: Scratch) -> DataFrame:
-    """Rows r1, r2, lo, hi: the windows from lo to before hi of a row that begin in another piece too."""
+def _repeated(pieces: DataFrame, most: int, w: int, bound: int, shard: int, scratch: Scratch) -> DataFrame:
+    """Rows r1, r2, lo, hi: the windows from lo to before hi of a row that begin in another of the pieces, `most` at most."""
     key, found = ["ka", "kb"], None
     weight = F.length("piece") + OVERHEAD
     while True:
-        pieces = scratch.table(pieces, f"pieces{w}")
+        pieces = scratch.table(pieces, f"pieces{w}", most)
         large = pieces.groupBy(*key).agg(F.count("*").alias("n"), F.sum(weight).alias("size")).where(F.col("size") > bound).select(*key, "n", F.lit(True).alias("large"))
-        large = scratch.table(large, "large")
         rows, size = pieces.agg(F.count("*"), F.sum(weight)).first()
+        large = scratch.table(large, "large", int((size or 0) // bound))
         split = not large.isEmpty()
         marked = joined(pieces, large, key, ["r1", "r2", "base"], rows, "left") if split else pieces
         usual = marked.where("large IS NULL") if split else pieces
@@ -496,15 +496,15 @@ def _repeated(pieces: DataFrame, w: int, bound: int, shard: int, scratch: Scratc
         if not split:
             return found
         # Equal pieces of a large group are one from here on; those that come more than once repeat as a whole.
-        marked = scratch.table(marked.where("large").drop("large"), "crowd")
+        marked = scratch.table(marked.where("large").drop("large"), "crowd", rows)
         same = [*key, "x1", "x2", "piece"]
-        kinds = scratch.table(marked.groupBy(*same).agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("r1", "r2", "base")]), "kinds")
+        kinds = scratch.table(marked.groupBy(*same).agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("r1", "r2", "base")]), "kinds", rows)
         twice = joined(marked, kinds.where("n > 1").select(*same, "n"), same, ["r1", "r2", "base"], marked.count())
         found = found.unionByName(twice.where("r1 IS NOT NULL").select("r1", "r2", (F.col("base") - F.col("x2")).alias("lo"), (F.col("base") - F.col("x1") + 1).alias("hi")))
         single = F.col("n") == 1
         kinds = kinds.select(*key, "x1", "x2", F.when(single, F.col("r1")).alias("r1"), F.when(single, F.col("r2")).alias("r2"), "base", "piece")
         run, w = _split(w)
-        pieces = kinds.mapInArrow(run, PIECES)
+        most, pieces = 2 * kinds.count(), kinds.mapInArrow(run, PIECES)
 
 
 def dedup(docs: DataFrame, id_col="doc_id", text_col="text", carry: str | None = None, length: int = LENGTH, gram: int = GRAM, bound: int = BOUND, shard: int = SHARD, scratch: Scratch | None = None) -> DataFrame:
@@ -516,11 +516,14 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", carry: str | None =
     own = F.col(id_col).cast("long")
     base = docs.select(own.alias("id"), F.xxhash64(own, text).alias("r1"), F.xxhash64(F.lit(1), own, text).alias("r2"), text.alias("text"), *more)
     found = scratch.table(_find(base.select("r1", "r2", "text"), length, gram), "stretches")
-    shared = scratch.table(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    found = scratch.table(joined(found, shared, ["h"], ["r1", "r2", "ref"], found.count()), "shared")
-    kinds = scratch.table(found.groupBy("h", "e").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("r1", "r2", "ref")]), "kinds")
-    several = scratch.table(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    asked = joined(kinds.withColumnRenamed("n", "times"), several, ["h"], ["e"], kinds.count())
+    n = found.count()
+    shared = scratch.table(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors", n // 2)
+    found = scratch.table(joined(found, shared, ["h"], ["r1", "r2", "ref"], n), "shared", n)
+    n = found.count()
+    kinds = scratch.table(found.groupBy("h", "e").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("r1", "r2", "ref")]), "kinds", n)
+    n_kinds = kinds.count()
+    several = scratch.table(kinds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several", n_kinds // 2)
+    asked = joined(kinds.withColumnRenamed("n", "times"), several, ["h"], ["e"], n_kinds)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = base.repartition(parts, "r1", "r2")  # both joins below read one exchange of it
@@ -528,10 +531,10 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", carry: str | None =
     wanted = asked.select(F.col("r1").alias("of1"), F.col("r2").alias("of2"), (F.shiftleft("ref", 1) + (F.col("times") == 1).cast("long")).alias("ref")).groupBy("of1", "of2").agg(F.collect_list("ref").alias("refs"))
     run, w = _slice(length, gram)
     pieces = texts.join(wanted, same).select("r1", "r2", "text", "refs").mapInArrow(run, PIECES)
-    hits = _repeated(pieces, w, bound, shard, scratch)
+    hits = _repeated(pieces, 2 * n_kinds, w, bound, shard, scratch)
 
     # A stretch that comes more than once repeats as a whole, wherever it is.
-    whole = joined(found, kinds.where("n > 1").select("h", "e", "n"), ["h", "e"], ["r1", "r2", "ref"], found.count())
+    whole = joined(found, kinds.where("n > 1").select("h", "e", "n"), ["h", "e"], ["r1", "r2", "ref"], n)
     hits = hits.select("r1", "r2", (F.shiftleft("lo", 8) + F.col("hi") - F.col("lo")).alias("range")).unionByName(whole.select("r1", "r2", F.col("ref").alias("range")))
     ranges = hits.groupBy(F.col("r1").alias("of1"), F.col("r2").alias("of2")).agg(F.collect_set("range").alias("ranges"))
     x = texts.join(ranges, same, "left").select(F.col("id").alias("doc_id"), *[c for c in ["carried"] if carry], "text", "ranges")
