@@ -19,7 +19,9 @@ TREE_MUL, TREE_ADD = 99991, 7
 HASH_MUL, NODE_MUL = 2654435761, 40503
 SUB_SALT = 0x9E3779B97F4A7C15
 GROUP_MUL, GROUP_ADD = 0x100000001B3, 0x9E3779B1
-PERM_SALT, PERM_MUL, PERM_ADD = 0xDEADBEEFCAFEBABE, 6364136223846793005, 1442695040888963407
+PERM_SALT, PERM_MUL, PERM_ADD, PERM_SHIFT = 0xDEADBEEFCAFEBABE, 6364136223846793005, 1442695040888963407, 32
+SUB_FOLD, SUB_SHIFT, SUB_STEP, SUB_FIRST, NODE_STEP = 29, 33, 7, 3, 3
+SHIFTS = (13, 7, 17)
 MASK = (1 << 64) - 1
 
 
@@ -34,9 +36,9 @@ def node_seeds(seed: int, index: np.ndarray) -> np.ndarray:
 
 
 def _xorshift(state: np.ndarray) -> np.ndarray:
-    state = state ^ state << U(13)
-    state = state ^ state >> U(7)
-    return state ^ state << U(17)
+    state = state ^ state << U(SHIFTS[0])
+    state = state ^ state >> U(SHIFTS[1])
+    return state ^ state << U(SHIFTS[2])
 
 
 def node_vectors(seeds: np.ndarray, dim: int, version: int = 3) -> np.ndarray:
@@ -96,16 +98,16 @@ class Forest:
             return None
         seed = tree_seed(tree)
         if self.tree_sub_groups > 0:
-            h = (seed ^ seed >> 29) * SUB_SALT & MASK
-            seed = ((h >> 33) % self.tree_sub_groups * GROUP_MUL + GROUP_ADD) & MASK
+            h = (seed ^ seed >> SUB_FOLD) * SUB_SALT & MASK
+            seed = ((h >> SUB_SHIFT) % self.tree_sub_groups * GROUP_MUL + GROUP_ADD) & MASK
         start = np.array([seed * HASH_MUL & MASK ^ SUB_SALT], U)
-        return _draws(start, np.arange(self.tree_sub) * 7 + 3, self.dim)[0]
+        return _draws(start, np.arange(self.tree_sub) * SUB_STEP + SUB_FIRST, self.dim)[0]
 
     def _permutation(self, tree: int, full: int) -> np.ndarray:
         order, state = list(range(full)), (tree_seed(tree) | 1) ^ PERM_SALT
         for i in range(full - 1, 0, -1):
             state = (state * PERM_MUL + PERM_ADD) & MASK
-            j = (state >> 32) % (i + 1)
+            j = (state >> PERM_SHIFT) % (i + 1)
             order[i], order[j] = order[j], order[i]
         return np.array(order)
 
@@ -121,7 +123,7 @@ class Forest:
             dims = order[(level % cycle * self.sub_dim)[:, None] + np.arange(self.sub_dim)]
         else:
             with np.errstate(over="ignore"):
-                start = U(seed * HASH_MUL & MASK) ^ (nodes.astype(U) * U(3) * U(NODE_MUL))
+                start = U(seed * HASH_MUL & MASK) ^ (nodes.astype(U) * U(NODE_STEP) * U(NODE_MUL))
             dims = _draws(start, np.arange(self.sub_dim), full)
         weights = node_vectors(node_seeds(seed, 2 * nodes + 1), self.sub_dim, self.version) - node_vectors(node_seeds(seed, 2 * nodes), self.sub_dim, self.version)
         return (dims if inner is None else inner[dims]), weights
@@ -166,11 +168,18 @@ class Forest:
         """
         x = normalise(np.asarray(x, np.float64))
         margins = np.abs(self.descend(x, tree, np.zeros(len(x), np.int64), self.depth)[1])
-        flips = [_flips(m, n_probes, min_flip, multi) for m in margins]
-        rows = np.repeat(np.arange(len(x)), [len(f) for f in flips])
-        turned = np.zeros((len(rows), self.depth), bool)
-        for i, levels in enumerate(f for each in flips for f in each):
-            turned[i, list(levels)] = True
+        if multi:
+            flips = [_flips(m, n_probes, min_flip) for m in margins]
+            rows = np.repeat(np.arange(len(x)), [len(f) for f in flips])
+            turned = np.zeros((len(rows), self.depth), bool)
+            for i, levels in enumerate(f for each in flips for f in each):
+                turned[i, list(levels)] = True
+        else:
+            order = min_flip + np.argsort(margins[:, min_flip:], 1, kind="stable")[:, :n_probes]
+            rows = np.repeat(np.arange(len(x)), order.shape[1] + 1)
+            turned = np.zeros((len(x), order.shape[1] + 1, self.depth), bool)
+            np.put_along_axis(turned[:, 1:], order[:, :, None], True, 2)
+            turned = turned.reshape(len(rows), self.depth)
         node, score = np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
         for level in range(self.depth if len(rows) else 0):
             margin = self.differences(x[rows], tree, node) - self.thresholds(tree, node)
@@ -179,11 +188,9 @@ class Forest:
         return rows, node - ((1 << self.depth) - 1), score
 
 
-def _flips(margins: np.ndarray, n_probes: int, min_flip: int, multi: bool) -> list[tuple[int, ...]]:
-    """The sets of levels to turn, the empty one first."""
+def _flips(margins: np.ndarray, n_probes: int, min_flip: int) -> list[tuple[int, ...]]:
+    """The sets of levels to turn, the empty one first, then by the sum of their margins."""
     levels = sorted(range(min_flip, len(margins)), key=lambda i: (margins[i], i))
-    if not multi:
-        return [(), *((i,) for i in levels[:n_probes])]
     out: list[tuple[int, ...]] = [()]
     queue = [(float(margins[levels[0]]), (0,))] if levels else []
     while queue and len(out) <= n_probes:

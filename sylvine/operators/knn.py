@@ -91,3 +91,19 @@ def pad_truth(truth: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Ranks 1 to k of every query, doc_id -1 where there are fewer neighbours."""
     every = queries.select(F.col("id").alias("qid")).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
     return every.join(truth.select("qid", "rank", "doc_id"), ["qid", "rank"], "left").select("qid", "rank", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"))
+
+
+def running(queries: DataFrame, parts: list[DataFrame], k: int, metric: str = "l2") -> DataFrame:
+    """Truth kept up while a corpus arrives in parts: each part's k nearest are merged with the k nearest so far."""
+    best = None
+    for part in parts:
+        best = merged_truth(best, exact(queries, part, k, metric), k)
+    return best
+
+
+def merged_truth(old: DataFrame | None, new: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query over two tables (qid, doc_id, dist, rank); a document in both counts once."""
+    if old is None:
+        return new
+    both = old.drop("rank").unionByName(new.drop("rank")).groupBy("qid", "doc_id").agg(F.min("dist").alias("dist"))
+    return top_k(both, k)

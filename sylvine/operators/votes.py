@@ -48,6 +48,37 @@ def probes(queries: DataFrame, forest: Forest, n_probes: int = 0, span: int | No
     return queries.select("id", "vec").mapInArrow(run, PROBES)
 
 
+def traced(queries: DataFrame, forest: Forest) -> DataFrame:
+    """Rows qid, tree, leaf, margins: how far each (id, vec) lies from the threshold at every level of its descent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sylvine.functions.forest import normalise
+
+        for batch in batches:
+            x = normalise(_rows(batch.column(1))) if batch.num_rows else None
+            for t in range(forest.n_trees if batch.num_rows else 0):
+                node, margins = forest.descend(x, t, np.zeros(len(x), np.int64), forest.depth)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * forest.depth), pa.array(np.abs(margins).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), t, np.int32)), pa.array((node - ((1 << forest.depth) - 1)).astype(np.int32)), lists], ["qid", "tree", "leaf", "margins"])
+
+    return queries.select("id", "vec").mapInArrow(run, "qid long, tree int, leaf int, margins array<double>")
+
+
+def deepened(corpus: DataFrame, posted: DataFrame, forest: Forest, extra: int) -> DataFrame:
+    """Postings `extra` levels further down, from the leaves that `posted` has at the forest's depth."""
+    lists = posted.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("tree", "leaf"))).alias("l"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                have = np.asarray(batch.column(2).flatten(), np.int64).reshape(batch.num_rows, -1)
+                leaves = forest.deepen(_rows(batch.column(1)), have, extra)
+                n, t = leaves.shape
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(leaves.astype(np.int32).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), t))], ["tree", "leaf", "doc_id"])
+
+    return corpus.select("id", "vec").join(lists, "id").select("id", "vec", F.col("l.leaf").alias("leaves")).mapInArrow(run, POSTINGS)
+
+
 def median_sample(corpus: DataFrame, forest: Forest, med_depth: int, sample: int = 5000) -> np.ndarray:
     """Thresholds from at most `sample` rows, every (n / sample)-th id."""
     n = corpus.count()
@@ -55,6 +86,20 @@ def median_sample(corpus: DataFrame, forest: Forest, med_depth: int, sample: int
     return calibrate(forest, _rows(rows.column("vec").combine_chunks()), med_depth)
 
 
+def strided_sample(corpus: DataFrame, sample: int = 5000, least: int = 1024) -> DataFrame:
+    """Every (n / sample)-th row by order of id, `sample` at most; raises if the table has under `least` rows."""
+    n = corpus.count()
+    if n < least:
+        raise ValueError(f"{n} rows are too few to calibrate with, {least} are needed")
+    slot = corpus.groupBy(F.floor(F.col("id") / 4096).alias("key")).agg(F.count("*").alias("n"))
+    from sylvine.operators.documents import before
+
+    x = corpus.withColumn("key", F.floor(F.col("id") / 4096)).join(before(slot, 1), "key")
+    place = F.col("before") + F.row_number().over(W.partitionBy("key").orderBy("id")) - 1
+    step = n / min(sample, n)
+    return x.withColumn("place", place).where(F.floor(F.ceil(F.col("place") / step) * step) == F.col("place")).select("id", "vec")
+
+
 def leaf_sizes(posted: DataFrame) -> DataFrame:
     return posted.groupBy("tree", "leaf").agg(F.count("*").alias("n_docs"))
 
@@ -84,6 +129,24 @@ def capped(probed: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
     return probed.join(sizes.where(F.col("n_docs") > cap), ["tree", "leaf"], "left_anti").select(*probed.columns)
 
 
+def leaf_capped(posted: DataFrame, cap: int) -> DataFrame:
+    """Postings of at most cap documents a leaf, those of smallest ids: what stores with slots of a fixed size hold."""
+    order = W.partitionBy("tree", "leaf").orderBy("doc_id")
+    return posted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).drop("place")
+
+
+def hot_merged(main: DataFrame, hot: DataFrame) -> DataFrame:
+    """Postings of a frozen store and of what was added since, each (tree, leaf, document) once."""
+    return main.unionByName(hot).dropDuplicates(["tree", "leaf", "doc_id"])
+
+
+def compacted(main: DataFrame, hot: DataFrame, path: str, parts: int) -> DataFrame:
+    """Writes both as one table sorted by tree, leaf and document in `parts` ranges, and reads it."""
+    x = hot_merged(main, hot).select("tree", "leaf", "doc_id")
+    x.repartitionByRange(parts, "tree", "leaf").sortWithinPartitions("tree", "leaf", "doc_id").write.parquet(path)
+    return main.sparkSession.read.schema(POSTINGS).parquet(path)
+
+
 def steered(probed: DataFrame, posted: DataFrame, allowed: DataFrame) -> DataFrame:
     """Probes whose leaf holds an allowed document."""
     live = posted.join(allowed, "doc_id", "left_semi").select("tree", "leaf").distinct()
@@ -149,6 +212,33 @@ def top_n(counted: DataFrame, n: int | None) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 
 
+def first_distinct(counted: DataFrame, most: int) -> DataFrame:
+    """The votes of each query's first `most` documents by id, which is what a scan that stops at so many has seen."""
+    order = W.partitionBy("qid").orderBy("doc_id")
+    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def union_forests(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Postings of several forests of one depth as one: (offset, postings), the offset added to a forest's tree numbers.
+
+    Forests that share seeds and hold different documents have the same offset, so a document counts once a tree; other
+    forests get offsets that keep their trees apart.
+    """
+    x = None
+    for offset, posted in parts:
+        own = posted.select((F.col("tree") + offset).cast("int").alias("tree"), "leaf", "doc_id")
+        x = own if x is None else x.unionByName(own)
+    return x.distinct()
+
+
+def observed(counted: DataFrame, name: str = "votes"):
+    """Votes with telemetry: (rows, observation); after an action, observation.get has n_candidates, n_distinct, n_votes."""
+    from pyspark.sql import Observation
+
+    o = Observation(name)
+    return counted.observe(o, F.count("*").alias("n_candidates"), F.approx_count_distinct("doc_id").alias("n_distinct"), F.sum("votes").alias("n_votes")), o
+
+
 def at_least(counted: DataFrame, threshold: int) -> DataFrame:
     return counted.where(F.col("votes") >= threshold)
 

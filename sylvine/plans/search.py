@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sylvine.functions.forest import Forest
 from sylvine.operators import knn, votes as V
@@ -51,6 +51,13 @@ def candidates(queries: DataFrame, posted: DataFrame, forest: Forest, spec: Sear
     return V.top_n(counted.join(queries.select(F.col("id").alias("doc_id"), F.col("id").alias("qid")), ["qid", "doc_id"], "left_anti"), spec.top_n)
 
 
+def by_votes(leaves: DataFrame, posted: DataFrame, forest: Forest, k: int, query_depth: int = 0, **filters) -> DataFrame:
+    """Rows qid, doc_id, votes, rank for leaves (qid, tree, leaf) that a client computed: its vectors stay with it, so votes rank."""
+    counted = V.votes(leaves, posted, forest.depth, query_depth, **filters)
+    order = W.partitionBy("qid").orderBy(F.desc("votes"), "doc_id")
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def _candidates_of_all(corpus: DataFrame, posted: DataFrame, allowed: DataFrame | None = None, tombstones: DataFrame | None = None) -> DataFrame:
     """The vectors that get a vote from every query that probes all leaves."""
     x = corpus.join(posted.select(F.col("doc_id").alias("id")), "id", "left_semi")
@@ -70,9 +77,8 @@ def filtered(queries: DataFrame, corpus: DataFrame, posted: DataFrame, forest: F
     """A search among documents whose metadata row (doc_id, ...) meets a condition: brute force, before or after the votes."""
     condition = F.expr(where) if isinstance(where, str) else where
     allowed = meta.where(condition).select("doc_id").distinct()
-    n = corpus.count()
-    card = allowed.count()
-    mode = mode or knobs.strategy(card, n, dim or forest.dim)
+    if mode is None:
+        mode = knobs.strategy(allowed.count(), corpus.count(), dim or forest.dim)
     if mode == "brute":
         own = corpus.join(allowed.select(F.col("doc_id").alias("id")), "id", "left_semi")
         return knn.exact(queries, own, spec.top_k, spec.metric)
@@ -80,7 +86,7 @@ def filtered(queries: DataFrame, corpus: DataFrame, posted: DataFrame, forest: F
         return search(queries, corpus, posted, forest, spec, allowed=allowed)
     if mode != "post":
         raise ValueError(f"unknown filter mode {mode!r}")
-    wide, top_n = knobs.oversample(spec.top_k, card / max(1, n), spec.top_n)
+    wide, top_n = knobs.oversample(spec.top_k, allowed.count() / max(1, corpus.count()), spec.top_n)
     found = search(queries, corpus, posted, forest, replace(spec, top_k=wide, top_n=None if spec.top_n is None else max(top_n, wide)))
     return knn.top_k(found.drop("rank").join(allowed, "doc_id", "left_semi").select("qid", "doc_id", "dist"), spec.top_k)
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values of the format: cookies of sets without and with run containers.
 PLAIN, RUNS, NO_OFFSETS = 12346, 12347, 4
@@ -71,3 +75,37 @@ def to_portable(ids: np.ndarray) -> bytes:
     begin = 8 + 8 * len(parts)
     offsets = np.cumsum([0] + [len(b) for b in bodies])[:-1] + begin
     return struct.pack("<II", PLAIN, len(parts)) + head + offsets.astype("<u4").tobytes() + b"".join(bodies)
+
+
+def ids(states: DataFrame, column: str = "state") -> DataFrame:
+    """Rows doc_id: the ids of all the sets in a column of state or portable bytes, each once; nulls hold none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                if data.is_valid:
+                    raw = data.as_buffer().to_pybytes()
+                    yield pa.RecordBatch.from_arrays([pa.array(from_state(raw) if raw[0] < 2 else from_portable(raw))], ["doc_id"])
+
+    return states.select(column).mapInArrow(run, "doc_id long").distinct()
+
+
+def packed(column: str | Column) -> Column:
+    """State bytes of a column of id lists: the small form up to 32 ids, else a portable set with its size before it."""
+
+    @F.pandas_udf("binary")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else to_state(np.asarray(x, np.int64)))
+
+    return run(column)
+
+
+def to_state(values: np.ndarray) -> bytes:
+    values = np.unique(values)
+    if len(values) <= 32:
+        return bytes([0, len(values)]) + values.astype("<u4").tobytes()
+    body, size = to_portable(values), b""
+    n = len(body)
+    while n >= 0x80:
+        size, n = size + bytes([n & 0x7F | 0x80]), n >> 7
+    return b"\x01" + size + bytes([n]) + body

@@ -54,6 +54,21 @@ def test_empty_and_odd_vectors(spark):
         S.SearchSpec(top_k=0)
 
 
+def test_vote_operators(spark):
+    df, _ = clustered(spark)
+    q, posted = df.where("id % 50 = 0"), V.postings(df, FOREST).cache()
+    counted, o = V.observed(V.votes(V.probes(q, FOREST), posted, 4))
+    n = counted.count()
+    assert o.get["n_candidates"] == n and o.get["n_votes"] >= n
+    assert V.leaf_capped(posted, 3).groupBy("tree", "leaf").count().agg(F.max("count")).first()[0] == 3
+    assert V.hot_merged(posted, posted.where("doc_id < 50")).count() == posted.count()
+    sample = V.strided_sample(spark.range(5000).select("id", F.array(F.lit(1.0)).alias("vec")), 1250)
+    assert sample.count() == 1250 and sample.where("id % 4 <> 0").isEmpty()
+    with pytest.raises(ValueError):
+        V.strided_sample(df)
+    assert V.traced(q, FOREST).where("size(margins) = 4").count() == 64
+
+
 def test_knobs():
     assert knobs.auto_depth(14, 1 << 20, None) == 14 and knobs.auto_depth(14, 1 << 20, 1 << 17) == 11 and knobs.auto_depth(3, 1 << 20, 1) == 1
     assert knobs.oversample(10, 0.8) == (20, 2000) and knobs.oversample(10, 0.01)[0] == 2000 and knobs.oversample(10, 0.0)[0] == 5000
