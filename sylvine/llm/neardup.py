@@ -206,7 +206,7 @@ def group(docs: DataFrame, percent: int = 85, id_col="doc_id", text_col="text",
 
     tried = scratch.table(_pairs(members), "pairs", n_members)
     n_tried = tried.count()
-    links = scratch.table(confirm(tried, texts, percent, words), "links", n_tried)
+    links = scratch.table(confirm(tried, texts, percent, words), "links", 10 * n_tried)
 
     def labelled() -> tuple[DataFrame, DataFrame]:
         comp = scratch.table(components(links, scratch), "components", 2 * n_tried)
@@ -221,7 +221,7 @@ def group(docs: DataFrame, percent: int = 85, id_col="doc_id", text_col="text",
     hub = left.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("id", F.lit(1)).alias("p"), "id", "comp")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.comp").alias("centre_comp"))
     more = _pairs(left.join(hub, "bucket").where("comp <> centre_comp")).join(tried, ["a", "b"], "left_anti")
     more = scratch.table(more, "pairs", n_open)
-    links = scratch.table(links.union(confirm(more, texts, percent, words)), "links", n_tried + n_open)
+    links = scratch.table(links.union(confirm(more, texts, percent, words)), "links", 10 * (n_tried + n_open))
 
     # What is still open: buckets that hold several components, united to clusters, so that each text is compared once.
     comp, left = labelled()
@@ -234,7 +234,7 @@ def group(docs: DataFrame, percent: int = 85, id_col="doc_id", text_col="text",
     left = left.join(spread, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("spread")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
     left = left.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
     rest = left.select("cluster", "lo", "hi", "id", "comp", "block", "signature", "text").groupBy("cluster", "lo", "hi").applyInArrow(_link(percent, words), "a long, b long")
-    links = scratch.table(links.union(rest), "links", n_tried + 2 * n_open)
+    links = scratch.table(links.union(rest), "links", 10 * (n_tried + 2 * n_open))
 
     comp = scratch.table(components(links, scratch), "components", n_tried + 2 * n_open)
     of_set = nodes.select("h1", "h2", "id").join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("of_set"))

@@ -130,7 +130,22 @@ def test_cross_polytope_cells_follow_nearness():
     y = x + 0.1 * rng.standard_normal((500, 64))
     a, b = ann.rotate(x, 0), ann.rotate(y, 0)
     assert np.allclose((a * a).sum(1), (x * x).sum(1) * 64**3) and (ann.cells(a) == ann.cells(b)).mean() > 0.6
-    assert (ann.probe_order(a)[:, 0] == ann.cells(a)).all()
+    for choice in ([64], [64, 4], [8, 8, 2]):
+        probes = ann.probe_cells(x, 3, choice, 9)
+        assert (probes[:, 0] == ann._joint(x, 3, choice, 5)).all() and all(len(set(p)) == len(p) for p in probes.tolist())
+    assert ann.axes(100, 64) == [8] and ann.axes(51_282, 64) == [64, 32] and ann.axes(3, 64) == [1] and len(ann.axes(10**9, 64)) == 4
+
+
+def test_joint_probes_come_in_order_of_cost():
+    x, choice = rng.standard_normal((20, 16)), [16, 4]
+    lag = []
+    for i, k in enumerate(choice):
+        y = ann.rotate(x, 8 * 2 + i)
+        y = y[:, :k] / np.sqrt((y * y).mean(1, keepdims=True))
+        both = np.stack([y, -y], 2).reshape(20, -1)
+        lag.append((both.max(1, keepdims=True) - both) ** 2)
+    whole = (lag[0][:, :, None] + lag[1][:, None, :]).reshape(20, -1)
+    assert (ann.probe_cells(x, 2, choice, 30) == np.argsort(whole, 1, kind="stable")[:, :30]).all()
 
 
 def test_gumbel_samples_are_distinct_and_follow_the_lattice():

@@ -195,6 +195,8 @@ def test_ann_recall_and_edges(spark, monkeypatch):
     odd = [(5000, None), (5020, [0.0] * 64), (5040, [float("nan")] * 64), (5060, [None] * 64), (5080, [1.0]), (None, [1.0] * 64), (20, x[20].tolist())]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     monkeypatch.setattr(ann, "ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    monkeypatch.setattr(ann, "HELD", 5000)
     got = ann.search(df.where("vec_id % 20 = 0"), df).toPandas()
     v = x.astype(np.float64)
     s = v[::20] @ v.T
@@ -206,6 +208,9 @@ def test_ann_recall_and_edges(spark, monkeypatch):
         order = sorted((-round(float(s[n, j]), 9), j) for j in range(1500) if j != q)
         hits += len({j for _, j in order[:20]} & set(mine.vec_id))
     assert hits / (75 * 20) >= 0.9 and got.query_id.nunique() == 75
+    named = df.selectExpr("vec_id AS id", "embedding AS vec", "1 AS key", "'x' AS vec_id", "2 AS q", "3 AS n")
+    again = ann.search(named.where("id % 20 = 0"), named, id_col="id", vec_col="vec").toPandas()
+    assert sorted(zip(again.query_id, again["rank"], again.vec_id)) == sorted(zip(got.query_id, got["rank"], got.vec_id))
     few = ann.search(df.where("vec_id = 0"), df.where("vec_id < 7"))
     assert few.count() == 6 and ann.search(df.where("false"), df.where("false")).count() == 0
 
