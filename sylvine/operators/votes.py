@@ -187,10 +187,11 @@ def guided(queries: DataFrame, posted: DataFrame, allowed: DataFrame, forest: Fo
     return queries.select("id", "vec").mapInArrow(run, PROBES)
 
 
-def votes(probed: DataFrame, posted: DataFrame, depth: int, query_depth: int = 0, allowed: DataFrame | None = None, tombstones: DataFrame | None = None, single: bool = False) -> DataFrame:
+def votes(probed: DataFrame, posted: DataFrame, depth: int, query_depth: int = 0, allowed: DataFrame | None = None, tombstones: DataFrame | None = None, single: bool = False, unique: bool = True) -> DataFrame:
     """Rows qid, doc_id, votes. query_depth widens a leaf to its ancestor at that depth, as an equality of shifted leaves.
 
-    allowed and tombstones (doc_id) act below the count. single: the caller vouches for one leaf a tree, so rows count.
+    allowed and tombstones (doc_id) act below the count. single: the caller vouches for one leaf a tree, so probes aren't made
+    distinct. A document is in one leaf a tree, so rows are trees; unique=False where postings may hold it twice.
     """
     shift = depth - (query_depth or depth)
     if shift < 0:
@@ -200,7 +201,7 @@ def votes(probed: DataFrame, posted: DataFrame, depth: int, query_depth: int = 0
     left = probed.select("qid", "tree", F.shiftright("leaf", shift).alias("at"))
     left = left if single else left.distinct()
     x = left.join(posted.select("tree", F.shiftright("leaf", shift).alias("at"), "doc_id"), ["tree", "at"])
-    count = F.count("*") if single else F.count_distinct("tree")
+    count = F.count("*") if unique else F.count_distinct("tree")
     return x.groupBy("qid", "doc_id").agg(count.alias("votes"))
 
 
