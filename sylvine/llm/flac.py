@@ -8,7 +8,7 @@ codes and predictors of all frames of a batch at once, checks each frame's CRC-1
 PCM bytes, cut in blocks of known sample offsets. Streams with other features of the format (16-bit, several channels,
 other orders, partitions, wasted bits) go through decode_stream(), one bit after another.
 
-Null text is empty text; payloads are padded with spaces to a positive multiple of 192 bytes. A null or broken media
+A text over 2 MB is coded and decoded some thousand blocks at a time, to the same stream. Null text is empty text; payloads are padded with spaces to a positive multiple of 192 bytes. A null or broken media
 value gives pcm null and the reason in error; other rows go on. Repeated rows stay; equal texts give equal values. An
 empty table gives an empty result. Only the named columns are read.
 """
@@ -93,13 +93,13 @@ def _put(out: np.ndarray, at: np.ndarray, value: np.ndarray, width: np.ndarray)
     out += sums.astype(">u4").view(np.uint8)[: len(out)]
 
 
-def encode_streams(payload: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode_streams(payload: np.ndarray, sizes: np.ndarray, first_number: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """FLAC streams of payloads that lie one after another; sizes are positive multiples of 192. Returns bytes and offsets."""
     x = payload.reshape(-1, BLOCK).astype(np.int16) - 128
     n = len(x)
     frames = sizes // BLOCK
     first = np.concatenate([[0], np.cumsum(frames)])
-    number = np.arange(n) - np.repeat(first[:-1], frames)
+    number = first_number + np.arange(n) - np.repeat(first[:-1], frames)
     f = x.astype(np.float32)
     r0, r1, r2 = (f * f).sum(1), (f[:, 1:] * f[:, :-1]).sum(1), (f[:, 2:] * f[:, :-2]).sum(1)
     det = r0 * r0 - r1 * r1
@@ -176,12 +176,32 @@ def encode_streams(payload: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray,
     cut = np.concatenate([[0], np.cumsum(sizes)])
     smallest, largest = (np.minimum.reduceat(size, first[:-1]), np.maximum.reduceat(size, first[:-1])) if n else (size, size)
     for i, a in enumerate(at[:-1].tolist()):
-        info = BLOCK.to_bytes(2, "big") * 2 + int(smallest[i]).to_bytes(3, "big") + int(largest[i]).to_bytes(3, "big")
-        info += (RATE << 44 | 7 << 36 | int(sizes[i])).to_bytes(8, "big") + hashlib.md5(signed[cut[i] : cut[i + 1]]).digest()
-        out[a : a + HEAD] = np.frombuffer(b"fLaC\x80\x00\x00\x22" + info, np.uint8)
+        digest = hashlib.md5(signed[cut[i] : cut[i + 1]]).digest()
+        out[a : a + HEAD] = np.frombuffer(_head(int(smallest[i]), int(largest[i]), int(sizes[i]), digest), np.uint8)
     return out, at
 
 
+def _head(smallest: int, largest: int, total: int, digest: bytes) -> bytes:
+    info = BLOCK.to_bytes(2, "big") * 2 + smallest.to_bytes(3, "big") + largest.to_bytes(3, "big")
+    return b"fLaC\x80\x00\x00\x22" + info + (RATE << 44 | 7 << 36 | total).to_bytes(8, "big") + digest
+
+
+def encode_long(text: np.ndarray) -> bytes:
+    """The stream of one long text, padded, made of parts of whole blocks; equal to that of encode_streams."""
+    total = max(1, -(-len(text) // BLOCK)) * BLOCK
+    parts, digest, smallest, largest = [], hashlib.md5(), 1 << 24, 0
+    step = CHUNK // BLOCK * BLOCK
+    for a in range(0, total, step):
+        part = text[a : min(a + step, total)]
+        if a + step >= total:
+            part = np.concatenate([part, np.full(total - a - len(part), 32, np.uint8)])
+        out, _ = encode_streams(part, np.array([len(part)]), a // BLOCK)
+        smallest, largest = min(smallest, int.from_bytes(out[12:15].tobytes(), "big")), max(largest, int.from_bytes(out[15:18].tobytes(), "big"))
+        digest.update((part ^ 0x80).tobytes())
+        parts.append(out[HEAD:].tobytes())
+    return b"".join([_head(smallest, largest, total, digest.digest()), *parts])
+
+
 class Bits:
     """Reads a byte string bit after bit."""
 
@@ -303,10 +323,52 @@ def decode_stream(data: bytes) -> tuple[np.ndarray, int, list[tuple[int, int, in
     return samples, info_bps, seek
 
 
-def decode_streams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _frame_starts(data: np.ndarray) -> np.ndarray | None:
+    """Where the frames of one long stream begin, found part after part by sync code, number and CRC-8; None if they don't fit."""
+    out, number = [], 0
+    for a in range(HEAD, len(data), CHUNK):
+        b = np.concatenate([data[a : a + CHUNK + 16], np.zeros(16, np.uint8)])
+        sync = np.flatnonzero((b[:-16] == 0xFF) & (b[1:-15] == 0xF8) & (b[2:-14] == 0x10) & (b[3:-13] == 0x02))
+        for p in sync[sync < min(CHUNK, len(data) - a)].tolist():
+            want = _number(np.array([number]))
+            size = int(want[1][0])
+            head = b[p : p + 5 + size].tobytes()
+            if head[4 : 4 + size] == want[0][0, :size].tobytes():
+                crc = 0
+                for byte in head[:-1]:
+                    crc = int(CRC8[crc ^ byte])
+                if crc == head[-1]:
+                    out.append(a + p)
+                    number += 1
+    return np.array(out) if out and out[0] == HEAD else None
+
+
+def decode_long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """PCM and frame offsets of one long stream of the profile, some frames at a time; None if a check fails."""
+    starts = _frame_starts(data)
+    if starts is None or data[:8].tobytes() != b"fLaC\x80\x00\x00\x22":
+        return None
+    total = int.from_bytes(data[21:26].tobytes(), "big") & (1 << 36) - 1
+    if total != len(starts) * BLOCK:
+        return None
+    pcm, digest, step, edge = np.empty(total, np.uint8), hashlib.md5(), CHUNK // BLOCK, np.append(starts, len(data))
+    for i in range(0, len(starts), step):
+        j = min(i + step, len(starts))
+        head = np.frombuffer(_head(0, 0, (j - i) * BLOCK, bytes(16)), np.uint8)
+        part = np.concatenate([head, data[edge[i] : edge[j]]])
+        got, _, _, good = decode_streams(part, np.array([0, len(part)]), i)
+        if not good[0]:
+            return None
+        pcm[i * BLOCK : j * BLOCK] = got
+        digest.update((got ^ 0x80).tobytes())
+    return (pcm, starts) if digest.digest() == data[26:42].tobytes() else None
+
+
+def decode_streams(buf: np.ndarray, at: np.ndarray, first_number: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Streams of encode_streams' profile at once: PCM bytes, their offsets, byte offsets of all frames, and whether each stream is sound.
 
-    A stream that doesn't fit the profile, or fails a check, is marked unsound and has no PCM here.
+    A stream that doesn't fit the profile, or fails a check, is marked unsound and has no PCM here. first_number: the streams
+    are parts of longer ones, from that frame on, and have no MD5.
     """
     n = len(at) - 1
     size = np.diff(at)
@@ -335,7 +397,7 @@ def decode_streams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     stop = np.append(sync[1:], at[-1])
     last = first[1:][frames > 0] - 1
     stop[last] = at[1:][frames > 0]
-    sound = (value == np.arange(len(sync)) - first[doc]) & (stop - sync < 4 * BLOCK)
+    sound = (value == (first_number or 0) + np.arange(len(sync)) - first[doc]) & (stop - sync < 4 * BLOCK)
     total = np.zeros(n, np.int64)
     for j in range(5):
         total[good] = total[good] << 8 | (b[at[:-1][good] + 21 + j] & (0x0F if j == 0 else 0xFF))
@@ -429,6 +491,8 @@ def decode_streams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
         sync, doc = sync[kept], doc[kept]
         frames = np.where(good, frames, 0)
     cut = np.concatenate([[0], np.cumsum(frames * BLOCK)])
+    if first_number is not None:
+        return pcm, cut, sync - at[doc], good
     signed = (pcm ^ 0x80).tobytes()
     raw = buf.tobytes()
     for i in np.flatnonzero(good).tolist():
@@ -462,7 +526,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             buf, at = text_bytes(batch.column(1))
             for i, j in blocks(at, CHUNK):
                 own = at[i : j + 1]
-                out, cut = encode_streams(*pad(buf[own[0] : own[-1]], own - own[0]))
+                if j == i + 1 and own[1] - own[0] > CHUNK:
+                    out = np.frombuffer(encode_long(buf[own[0] : own[1]]), np.uint8)
+                    cut = np.array([0, len(out)])
+                else:
+                    out, cut = encode_streams(*pad(buf[own[0] : own[-1]], own - own[0]))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(own)), _binary(out, cut)], ["doc_id", "n_bytes", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -471,9 +539,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def features(samples: np.ndarray) -> str:
     """Peak, mean, root mean square and zero crossings of the samples, fixed decimals."""
-    s = samples.view(np.int8).astype(np.int64)
-    sign = s < 0
-    return f"peak={int(np.abs(s).max(initial=0))};mean={s.mean():.3f};rms={np.sqrt((s * s).mean()):.3f};zc={int((sign[1:] != sign[:-1]).sum())}"
+    peak = total = square = crossings = 0
+    for a in range(0, len(samples), CHUNK):
+        s = samples[max(a - 1, 0) : a + CHUNK].view(np.int8)
+        crossings += int(((s[1:] < 0) != (s[:-1] < 0)).sum())
+        s = s[min(a, 1) :].astype(np.int64)
+        peak, total, square = max(peak, int(np.abs(s).max(initial=0))), total + int(s.sum()), square + int((s * s).sum())
+    n = len(samples)
+    return f"peak={peak};mean={total / n:.3f};rms={np.sqrt(square / n):.3f};zc={crossings}"
 
 
 def decode(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
@@ -486,7 +559,11 @@ def decode(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("do
             for i, j in blocks(at, CHUNK):
                 own = at[i : j + 1]
                 part = buf[own[0] : own[-1]]
-                pcm, cut, offsets, good = decode_streams(part, own - own[0])
+                if j == i + 1 and len(part) > CHUNK and (long := decode_long(part)) is not None:
+                    pcm, offsets = long
+                    cut, good = np.array([0, len(pcm)]), np.ones(1, bool)
+                else:
+                    pcm, cut, offsets, good = decode_streams(part, own - own[0])
                 seek = np.concatenate([[0], np.cumsum(np.diff(cut) // BLOCK)])
                 errors, feats = [], []
                 pieces, lists = None, None

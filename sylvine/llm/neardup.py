@@ -14,6 +14,7 @@ bins (a linked pair doesn't with a chance of 7e-12 at 0.85, 8e-11 at 0.8, less t
 full sets intersected, and only a spanning forest of the links goes out, so no group gives more rows than it has members.
 Every link is confirmed on the full sets of both texts.
 
+A text over 4 MB is read in parts of 2 MB that end between words; its set, 8 bytes a distinct shingle, is held whole.
 Null and empty texts, and those of white space only: empty set, linked with nothing. Null ids: no component, kept null.
 Rows that repeat an id are one document of both texts' links. An empty table gives an empty result. Only the named
 columns are read.
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sylvine.llm.components import components
-from sylvine.llm.text import blocks, mix, shingles, stream, text_bytes, word_hashes, word_spans
+from sylvine.llm.joins import frequent, joined
+from sylvine.llm.text import blocks, mix, shingles, stream, text_bytes, word_cuts, word_hashes, word_spans
 from sylvine.scratch import Scratch
 
 WORDS, BINS, BANDS, ROWS = 5, 128, 32, 4
@@ -39,8 +41,36 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>"
 
 
+def _long_set(buf: np.ndarray, words: int) -> np.ndarray:
+    """The set of one long text, part after part; a part begins with the last words of the one before."""
+    cuts, found, carried = word_cuts(buf, CHUNK), [], np.zeros(0, np.uint64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        starts, ends, _ = word_spans(buf[a:b], np.array([0, b - a]))
+        h = np.concatenate([carried, word_hashes(buf[a:b], starts, ends)])
+        if len(h) >= words or b == len(buf):
+            found.append(np.unique(shingles(h, np.array([0, len(h)]), words)[0]) if len(h) >= words or len(found) == 0 else h[:0])
+        carried = h[-(words - 1) :] if words > 1 else h[:0]
+    s = np.concatenate(found)
+    del found
+    s.sort()
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    return s[new]
+
+
+def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Each row's sum, modulo 2**64."""
+    if len(begin) == 2:
+        return x.sum(keepdims=True, dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+    return total[begin[1:]] - total[begin[:-1]]
+
+
 def sets(buf: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct shingle hashes, ascending, and where each row's begin (n + 1 entries)."""
+    if len(at) == 2 and len(buf) > 2 * CHUNK:
+        s = _long_set(buf, words)
+        return s, np.array([0, len(s)])
     starts, ends, first = word_spans(buf, at)
     s, begin = shingles(word_hashes(buf, starts, ends), first, words)
     cut = begin.tolist()
@@ -56,12 +86,17 @@ def sets(buf: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarra
 def minima(s: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """One-permutation hashes: rows of BINS least hashes, empty bins filled by optimal densification; EMPTY for empty sets."""
     n = len(begin) - 1
-    owner = np.repeat(np.arange(n), np.diff(begin))
-    place = owner * BINS + (s >> np.uint64(57)).astype(np.int64)
-    first = np.ones(len(s), bool)
-    first[1:] = place[1:] != place[:-1]
     raw = np.full(n * BINS, EMPTY)
-    raw[place[first]] = s[first]
+    if n == 1:  # sets ascend, and a bin is the top bits
+        edge = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
+        full = edge < np.append(edge[1:], len(s))
+        raw[full] = s[edge[full]]
+    else:
+        owner = np.repeat(np.arange(n), np.diff(begin))
+        place = owner * BINS + (s >> np.uint64(57)).astype(np.int64)
+        first = np.ones(len(s), bool)
+        first[1:] = place[1:] != place[:-1]
+        raw[place[first]] = s[first]
     raw = raw.reshape(n, BINS)
     out = raw.copy()
     row, col = np.nonzero((raw == EMPTY) & (np.diff(begin) > 0)[:, None])
@@ -85,8 +120,7 @@ def sign(docs: DataFrame, id_col="doc_id", text_col="text", words: int = WORDS)
                 own = at[i : j + 1]
                 s, begin = sets(buf[own[0] : own[-1]], own - own[0], words)
                 with np.errstate(over="ignore"):
-                    total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (s, mix(s ^ np.uint64(0xA5A5)))]
-                    h1, h2 = (mix(t[begin[1:]] - t[begin[:-1]]).view(np.int64) for t in total)
+                    h1, h2 = mix(_sums(s, begin)).view(np.int64), mix(_sums(mix(s ^ np.uint64(0xA5A5)), begin)).view(np.int64)
                     m = minima(s, begin)
                     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (j - i, BANDS)).copy()
                     for r in range(ROWS):
@@ -121,8 +155,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int = WORDS
                     keep[r] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    x = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    x = x.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    n = pairs.count()
+    x = joined(pairs, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), ["a"], ["b"], n, hot=frequent(pairs, ["a"], n))
+    x = joined(x, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), ["b"], ["a"], n, hot=frequent(pairs, ["b"], n))
     return x.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 

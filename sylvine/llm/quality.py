@@ -2,12 +2,14 @@
 
 A linear model over character-class statistics of the whole text is fitted on trusted positives (label 1) and unlabelled
 documents by the non-negative unbiased risk  prior * R+(P) + max(0, R-(U) - prior * R-(P))  with the logistic loss; the
-class prior is the share of label 1 among the labels for learning. A Platt curve over the labelled learning rows turns
-the margin into a score from 0 to 1. Fitting takes bounded samples chosen by a hash of the id (SAMPLE rows each);
-every row is scored.
-
-Null or empty text has features of its own (all zero but the intercept) and a score. Null ids are never held out nor
-learned from. Repeated rows get equal scores. Without labels for learning every score is the prior, which is then 0.5.
+class prior is estimated from positives and unlabelled rows alone: a classifier of the two is fitted on one half of each,
+and on the other half the share of unlabelled rows above a bar, over that of positives, is least where only positives lie
+above it; bars are judged with a confidence bound, so that few rows don't decide. Where there are labels 0, a Platt curve
+over the labelled learning rows turns the margin into a score from 0 to 1; else the mean score of unlabelled rows is the
+prior. Fitting takes bounded samples chosen by a hash of the id (SAMPLE rows each); every row is scored.
+
+A text over 2 MB is read in parts of 1 MB that end between words, with equal features. Null or empty text has features of its own (all zero but the intercept) and a score. Null ids are never held out nor
+learned from. Repeated rows get equal scores. Without positives for learning every score is 0.5.
 An empty table gives an empty result. Only the named columns are read.
 """
 
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sylvine.llm.text import blocks, text_bytes, word_hashes, word_spans
+from sylvine.llm.text import blocks, text_bytes, word_cuts, word_hashes, word_spans
 
 SAMPLE, THRESHOLD, SEED = 8_000, 0.3, 7
 CHUNK = 1 << 20
@@ -39,13 +41,14 @@ def features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.zeros((n, WIDTH), np.float32)
     if not len(buf):
         return out
+    if n == 1 and len(buf) > 2 * CHUNK:
+        return _long_features(buf)
     size = np.diff(at)
     doc = np.repeat(np.arange(n), size)
     cls = CLASS[buf]
     pair = cls[:-1] * CLASSES + cls[1:] + doc[:-1] * (CLASSES * CLASSES)
     inside = doc[:-1] == doc[1:]
     counts = np.bincount(pair if inside.all() else pair[inside], minlength=n * CLASSES * CLASSES).reshape(n, -1)
-    out[:, :-EXTRA] = np.sqrt(counts / np.maximum(size - 1, 1)[:, None])
     starts, ends, first = word_spans(buf, at)
     words = np.diff(first)
     h = word_hashes(buf, starts, ends)
@@ -57,6 +60,11 @@ def features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
             two = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
         same = owner[:-1] == owner[1:]
         follow = _distinct(owner[:-1][same], two[same], n)
+    return _filled(out, counts, size, words, distinct, follow)
+
+
+def _filled(out: np.ndarray, counts: np.ndarray, size: np.ndarray, words: np.ndarray, distinct: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    out[:, :-EXTRA] = np.sqrt(counts / np.maximum(size - 1, 1)[:, None])
     x = out[:, -EXTRA:]
     x[:, 0] = np.log1p(size) / 10
     x[:, 1] = np.log1p(words) / 10
@@ -70,6 +78,25 @@ def features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _long_features(buf: np.ndarray) -> np.ndarray:
+    """The features of one long text, part after part."""
+    cuts, counts, words = word_cuts(buf, CHUNK), np.zeros(CLASSES * CLASSES, np.int64), 0
+    one, two, last = [], [], np.zeros(0, np.uint64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        cls = CLASS[buf[a : b + 1]]
+        counts += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
+        starts, ends, _ = word_spans(buf[a:b], np.array([0, b - a]))
+        h = word_hashes(buf[a:b], starts, ends)
+        words += len(h)
+        one.append(np.unique(h >> np.uint64(24)))
+        h = np.concatenate([last, h])
+        with np.errstate(over="ignore"):
+            two.append(np.unique((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> np.uint64(24)))
+        last = h[-1:]
+    each = lambda v: np.array([v])
+    return _filled(np.zeros((1, WIDTH), np.float32), counts[None], each(len(buf)), each(words), each(len(np.unique(np.concatenate(one)))), each(len(np.unique(np.concatenate(two)))))
+
+
 def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """How many distinct hashes each owner has; owners ascend."""
     key = (h >> np.uint64(24)) | (owner.astype(np.uint64) << np.uint64(40))
@@ -100,6 +127,28 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     return w[:-1], float(w[-1])
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, risk: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from rows whose order is random; between 0.05 and 0.95."""
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    w, b = fit_pu(positive[::2], unlabelled[::2], 0.5)  # with this prior the risk tells the two samples apart
+    zp, zu = np.sort(positive[1::2] @ w + b), np.sort(unlabelled[1::2] @ w + b)
+    bars = zp[: max(1, int(0.99 * len(zp)))]
+    above_p, above_u = 1 - np.searchsorted(zp, bars) / len(zp), 1 - np.searchsorted(zu, bars) / len(zu)
+    slack = np.sqrt(np.log(4 / risk) / 2 / len(zu)) + np.sqrt(np.log(4 / risk) / 2 / len(zp))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(min(max(above_u[best] / above_p[best], 0.05), 0.95))
+
+
+def centred(z: np.ndarray, prior: float) -> float:
+    """The shift of margins that makes the mean score the prior."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (1 / (1 + np.exp(-np.clip(z + mid, -30, 30)))).mean() < prior else (low, mid)
+    return (low + high) / 2
+
+
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
     """a, b of the curve 1 / (1 + exp(-(a z + b))), by Newton's method with a little ridge."""
     scale = max(float(np.std(z)), 1e-6)
@@ -161,20 +210,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     counts = {r.y: r["count"] for r in y.groupBy("y").count().collect()}
     if not counts.get(1):
         return Model(np.zeros(WIDTH), 0.0)
-    prior = min(max(counts[1] / sum(counts.values()), 0.05), 0.95)
     chosen = y.where(part("id", sample, sum(counts.values())))  # about `sample` ids, so it may be broadcast
     known, truth = _collect(_featured(d.join(F.broadcast(chosen), "id").select("id", "text", "y")))
     free, _ = _collect(_featured(d.where(part("id", sample, docs.count())).select("id", "text", F.lit(None).cast("int").alias("y"))))
     if not (truth == 1).any() or not len(free):
-        return Model(np.zeros(WIDTH), float(np.log(prior / (1 - prior))))
+        return Model(np.zeros(WIDTH), 0.0)
     mean, dev = free.mean(0), free.std(0)
     dev = np.where(dev > 1e-4, dev, np.inf)
-    w, b = fit_pu((known[truth == 1] - mean) / dev, (free - mean) / dev, prior)
+    trusted, every = (known[truth == 1] - mean) / dev, (free - mean) / dev
+    shuffle = np.random.default_rng(SEED)
+    trusted, every = trusted[shuffle.permutation(len(trusted))], every[shuffle.permutation(len(every))]
+    prior = estimate_prior(trusted, every)
+    w, b = fit_pu(trusted, every, prior)
     w = w / dev
     b = b - float(mean @ w)
     if counts.get(0) and (truth == 0).any():
         a, c = platt(known @ w + b, truth)
         w, b = w * a, b * a + c
+    else:
+        b += centred(free @ w + b, prior)
     return Model(w, b)
 
 

@@ -15,7 +15,7 @@ The lattice falls apart wherever two neighbouring bytes stand together in no pie
 backward sums once, for all its occurrences in a batch of bytes, and all parts of all texts are walked at once. Passed-by
 children are drawn only while they can still be among the best k: a Gumbel variable of 53 bits is below 38.
 
-Null and empty text: one sample with no pieces, log_prob 0. Texts with fewer than k segmentations give as many rows.
+A text over 1 MB is sampled a part of 1 MB at a time, to the same samples. Null and empty text: one sample with no pieces, log_prob 0. Texts with fewer than k segmentations give as many rows.
 Repeated rows give equal samples. Null keys are keys of their own. An empty table gives an empty result. A literal U+2581
 is a space, as the format has it. Only the named columns are read.
 """
@@ -33,7 +33,7 @@ from sylvine.llm.text import BASE, BYTE, INVERSE, blocks, mix, powers, text_byte
 OFFSET, POWER, SAMPLES, SEED = 10.0, 1.0, 2, 1
 CHUNK = 1 << 20
 SPACE = "▁"
-LARGEST, KEPT = 38.0, 2_000_000
+LARGEST, KEPT, HEAD_ENOUGH = 38.0, 2_000_000, -1000.0
 
 
 def _hash(buf: np.ndarray) -> np.ndarray:
@@ -88,6 +88,12 @@ class Vocabulary:
         self.size = np.array([len(x) for x in self.bytes])
         self.begin = np.cumsum(self.size) - self.size
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of pieces, one after another."""
+        size = self.size[ids]
+        stop = np.cumsum(size)
+        return self.flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.begin[ids] - stop + size, size)].tobytes()
+
     def parts(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the parts of all rows begin: at row starts and between bytes that no piece holds together."""
         cut = np.zeros(len(buf), bool)
@@ -278,8 +284,66 @@ def _passed_by(lattice: Lattice, paths: list[tuple[Path, int]], keys: np.ndarray
     return out
 
 
+def _chance(log_prob: float, left: float) -> float:
+    """The log of the chance that a perturbed value exceeds `left`, the best value that was left out."""
+    gap = log_prob - left
+    return 0.0 if left == -np.inf else float(np.log(-np.expm1(-np.exp(min(gap, 30.0))))) if gap > -30 else gap
+
+
+def _part_seed(key: np.ndarray, s: int) -> np.ndarray:
+    """The seed of sample s (from 0) for the parts that it walks whole."""
+    with np.errstate(over="ignore"):
+        return mix(key + np.uint64(s) * np.uint64(0x9FB21C651E98DF25)) if s else key
+
+
+def sample_long(vocabulary: Vocabulary, buf: np.ndarray, key: np.ndarray, k: int) -> list[tuple[np.ndarray, float, float]]:
+    """Samples of one long text, CHUNK bytes at a time.
+
+    What samples branch at lies where a path's probability is still above e ** HEAD_ENOUGH, so the head decides, and behind
+    it every part is walked on its own with the sample's seed. Where the head doesn't decide, the whole text is sampled at once.
+    """
+    cuts = [0]
+    while cuts[-1] < len(buf):
+        place, width = cuts[-1] + CHUNK, 65536
+        while place < len(buf):
+            near = buf[place - 1 : place + width]
+            cut = np.flatnonzero(~vocabulary.together[near[:-1], near[1:]] & ((near[1:] & 0xC0) != 0x80))
+            if len(cut):
+                place += int(cut[0])
+                break
+            place += width
+        cuts.append(min(place, len(buf)))
+    head = 1
+    while True:
+        end = cuts[head]
+        rows = _sampled(vocabulary, buf[:end], np.array([0, end]), key, k)[0]
+        if end == len(buf):
+            return [(ids, p, _chance(p, left)) for ids, p, left in rows]
+        if len(rows) == k and all(p < HEAD_ENOUGH and left > HEAD_ENOUGH / 2 for _, p, left in rows):
+            break
+        head += 1
+    seen = len(vocabulary.parts(buf[:end], np.array([0, end])))
+    pieces, total = [[ids.astype("<u2")] for ids, _, _ in rows], [p for _, p, _ in rows]
+    for a, b in zip(cuts[head:-1], cuts[head + 1 :], strict=True):
+        starts = vocabulary.parts(buf[a:b], np.array([0, b - a]))
+        lattice, kind = vocabulary.lattice(buf[a:b], starts, np.diff(np.append(starts, b - a)))
+        with np.errstate(over="ignore"):
+            place = np.arange(seen, seen + len(starts), dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+            for s in range(k):
+                edges, _ = lattice.walk(lattice.start[kind], lattice.end[kind], mix(_part_seed(key, s) + place))
+                pieces[s].append(lattice.id[edges].astype("<u2"))
+                total[s] += float(lattice.share[edges].sum())
+        seen += len(starts)
+    return [(np.concatenate(ids), p, _chance(p, left)) for ids, p, (_, _, left) in zip(pieces, total, rows, strict=True)]
+
+
 def sample(vocabulary: Vocabulary, buf: np.ndarray, at: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each row of bytes up to k samples (ids, log_prob, log_inclusion); keys are the rows' hashes."""
+    return [[(ids, p, _chance(p, left)) for ids, p, left in rows] for rows in _sampled(vocabulary, buf, at, keys, k)]
+
+
+def _sampled(vocabulary: Vocabulary, buf: np.ndarray, at: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """The samples (ids, log_prob, the best perturbed value left out)."""
     starts = vocabulary.parts(buf, at)
     sizes = np.diff(np.append(starts, len(buf)))
     lattice, kind = vocabulary.lattice(buf, starts, sizes)
@@ -312,7 +376,7 @@ def sample(vocabulary: Vocabulary, buf: np.ndarray, at: np.ndarray, keys: np.nda
         for r, (_, path, place_, edge, _) in going:
             part = int(path.part[place_])
             with np.errstate(over="ignore"):
-                seed = mix(keys[r : r + 1] + np.uint64(s) * np.uint64(0x9FB21C651E98DF25))[0]
+                seed = _part_seed(keys[r : r + 1], s)[0]
                 whole = np.arange(part + 1, first[r + 1])
                 node.append(np.append(lattice.to[edge], begin_node[whole]))
                 stop.append(np.append(end_node[part], end_node[whole]))
@@ -340,13 +404,7 @@ def sample(vocabulary: Vocabulary, buf: np.ndarray, at: np.ndarray, keys: np.nda
     out = []
     for paths, queue in zip(done, queues, strict=True):
         left = max((q[0] for q in queue), default=-np.inf)
-        rows = []
-        for path in paths:
-            log_prob = float(path.sums[-1])
-            gap = log_prob - left
-            chance = 0.0 if left == -np.inf else float(np.log(-np.expm1(-np.exp(min(gap, 30.0))))) if gap > -30 else gap
-            rows.append((lattice.id[path.edges], log_prob, chance))
-        out.append(rows)
+        out.append([(lattice.id[path.edges], float(path.sums[-1]), left) for path in paths])
     return out
 
 
@@ -391,11 +449,16 @@ def encode(docs: DataFrame, model: str, k: int = SAMPLES, id_col="doc_id", text_
                 keys = batch.column(1).to_numpy().view(np.uint64)
                 for i, j in blocks(at, CHUNK):
                     own = at[i : j + 1]
-                    got = sample(vocabulary, *_prefixed(buf[own[0] : own[-1]], own - own[0]), keys[i:j], k)
+                    if j == i + 1 and own[1] - own[0] > CHUNK:
+                        text = b" " + buf[own[0] : own[1]].tobytes().replace(SPACE.encode(), b" ")
+                        got = [sample_long(vocabulary, np.frombuffer(text, np.uint8), keys[i:j], k)]
+                        del text
+                    else:
+                        got = sample(vocabulary, *_prefixed(buf[own[0] : own[-1]], own - own[0]), keys[i:j], k)
                     row = np.repeat(np.arange(i, j), [len(x) for x in got])
                     flat = [y for x in got for y in x]
                     sizes = np.array([len(y[0]) for y in flat], np.int64)
-                    data = np.concatenate([y[0] for y in flat]).astype("<u2")
+                    data = np.concatenate([y[0] for y in flat]).astype("<u2", copy=False)
                     ids = pa.Array.from_buffers(pa.large_binary(), len(flat), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]) * 2), pa.py_buffer(data)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([s for x in got for s in range(1, len(x) + 1)], pa.int32()), pa.array(sizes), pa.array([y[1] for y in flat], pa.float64()), pa.array([y[2] for y in flat], pa.float64()), ids], ["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids"])
         finally:  # an idle worker is kept; its lattice needn't be
@@ -416,6 +479,13 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
             raw, at = text_bytes(batch.column(place))
             for i, j in blocks(at, 1 << 19):
                 own = at[i : j + 1]
+                if j == i + 1 and own[1] - own[0] > 1 << 20:
+                    ids = np.frombuffer(raw[own[0] : own[1]].tobytes(), "<u2")
+                    data = b"".join(v.spell(ids[a : a + (1 << 18)]) for a in range(0, len(ids), 1 << 18))
+                    data = data[1:] if data[:1] == b" " else data
+                    text = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(data)])), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, text.cast(pa.string())], [*batch.schema.names, "text"])
+                    continue
                 ids, cut = np.ascontiguousarray(raw[own[0] : own[-1]]).view("<u2").astype(np.int32), (own - own[0]) // 2
                 size = v.size[ids]
                 stop = np.cumsum(size)

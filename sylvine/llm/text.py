@@ -67,6 +67,26 @@ def blocks(at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def word_cuts(buf: np.ndarray, size: int) -> list[int]:
+    """0, places about `size` bytes apart before a word that follows white space, and the end: a long text in parts.
+
+    A text without white space isn't cut.
+    """
+    out = [0]
+    while (p := out[-1] + size) < len(buf):
+        while p < len(buf):
+            black = ~WHITE[buf[p - 1 : p + 65536]]
+            hit = np.flatnonzero(black[1:] & ~black[:-1])
+            if len(hit):
+                p += int(hit[0])
+                break
+            p += 65536
+        if p >= len(buf):
+            break
+        out.append(p)
+    return [*out, len(buf)]
+
+
 def word_spans(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that aren't white space, and each row's first word (n + 1 entries)."""
     if not len(buf):

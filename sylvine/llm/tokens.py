@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sylvine.llm.text import LOWER, blocks, text_bytes, word_hashes, word_spans
+from sylvine.llm.text import LOWER, blocks, text_bytes, word_cuts, word_hashes, word_spans
 from sylvine.scratch import Scratch
 
 # Fixed values of the format: ids a word and bits an id of selectors 0 to 15; selector 0 is the escape.
@@ -34,7 +34,7 @@ WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 128
 MAGIC = b"SLVN-S8B"
 ESCAPED = np.uint32(1 << 31)
-CHUNK = 4 << 20
+CHUNK, PART = 4 << 20, 1 << 20
 
 
 def _bit_length(v: np.ndarray) -> np.ndarray:
@@ -43,7 +43,17 @@ def _bit_length(v: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of ids (unsigned), and each block's first word with its escape bit."""
+    """The words of ids (unsigned), and each block's first word with its escape bit; PART ids at a time."""
+    parts, index, done = [], [], 0
+    for a in range(0, max(len(ids), 1), PART):
+        words, first = _pack(ids[a : a + PART])
+        parts.append(words)
+        index.append(first + np.uint32(done))
+        done += len(words)
+    return np.concatenate(parts), np.concatenate(index)
+
+
+def _pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
@@ -104,7 +114,17 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unpack(words: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
-    """All n ids."""
+    """All n ids, PART at a time."""
+    step = PART // BLOCK
+    edge = np.append((index & ~ESCAPED).astype(np.int64), len(words))
+    parts = []
+    for i in range(0, len(index), step):
+        p = _unpack(words[edge[i] : edge[min(i + step, len(index))]], index[i : i + step] - np.uint32(edge[i]), min(n - i * BLOCK, PART))
+        parts.append(p.astype(np.uint32) if len(index) > step and p.max(initial=0) < 1 << 32 else p)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _unpack(words: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(len(index) * BLOCK, np.uint64)
     escaped = index & ESCAPED != 0
     first = (index & ~ESCAPED).astype(np.int64)
@@ -289,7 +309,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             doc = batch.column(0).fill_null(0).to_numpy()
             for i, j in blocks(at, CHUNK):
                 own = at[i : j + 1]
-                ids, count = coder.encode(buf[own[0] : own[-1]], own - own[0])
+                text = buf[own[0] : own[-1]]
+                if j == i + 1 and len(text) > CHUNK:  # words are encoded one by one, so a text may be cut between them
+                    cuts = word_cuts(text, CHUNK)
+                    ids = np.concatenate([coder.encode(text[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                    count = np.array([len(ids)])
+                else:
+                    ids, count = coder.encode(text, own - own[0])
                 ids = np.insert(ids, np.cumsum(count), end_id)
                 data = to_segment(doc[i:j], nulls[i:j], count + 1, ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([j - i], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_ids", "segment"])
