@@ -123,22 +123,26 @@ def _hashed(points: DataFrame, tables: int, choice: list[int], probes: int, seed
     return points.select("key", "vec").mapInArrow(run, "t int, cell long, key long")
 
 
-def _packed(pairs: DataFrame, n_blocks: int) -> DataFrame:
-    """Pairs (q, key) as rows q, vb, keys: the distinct keys of a block of rows, as bytes; HELD pairs at once."""
+def _packed(pairs: DataFrame) -> DataFrame:
+    """Pairs (q, key) as rows q, vb, slots: the distinct slots of a block of rows, two bytes each; HELD pairs at once.
+
+    A key is a row's block above 16 bits and its slot in them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
             q, key = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
-            vb = np.mod(key, n_blocks).astype(np.int32)
-            order = np.lexsort((key, vb, q))
-            q, vb, key = q[order], vb[order], key[order]
+            order = np.lexsort((key, q))
+            q, key = q[order], key[order]
             new = np.append(True, (q[1:] != q[:-1]) | (key[1:] != key[:-1]))
-            q, vb, key = q[new], vb[new], key[new]
+            q, key = q[new], key[new]
+            vb = (key >> 16).astype(np.int32)
             edge = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (vb[1:] != vb[:-1])))
-            lists = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer((np.append(edge, len(q)) * 8).astype(np.int32)), pa.py_buffer(key)])
-            return pa.RecordBatch.from_arrays([pa.array(q[edge]), pa.array(vb[edge]), lists], ["q", "vb", "keys"])
+            slots = (key & 0xFFFF).astype("<u2")
+            lists = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer((np.append(edge, len(q)) * 2).astype(np.int32)), pa.py_buffer(slots)])
+            return pa.RecordBatch.from_arrays([pa.array(q[edge]), pa.array(vb[edge]), lists], ["q", "vb", "slots"])
 
         for batch in batches:
             held.append(batch)
@@ -149,11 +153,11 @@ def _packed(pairs: DataFrame, n_blocks: int) -> DataFrame:
         if n:
             yield out()
 
-    return pairs.select("q", "key").mapInArrow(run, "q long, vb int, keys binary")
+    return pairs.select("q", "key").mapInArrow(run, "q long, vb int, slots binary")
 
 
-def candidates(asked: DataFrame, index: DataFrame, n_index: int, n_blocks: int) -> DataFrame:
-    """Rows q, vb, keys (a list of byte strings): each query's candidates in each block of rows, from (t, cell, key) tables."""
+def candidates(asked: DataFrame, index: DataFrame, n_index: int) -> DataFrame:
+    """Rows q, vb, slots (a list of byte strings): each query's candidates in each block of rows, from (t, cell, key) tables."""
     sizes = index.groupBy("t", "cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK))
     on = ["t", "cell"]
     if not sizes.isEmpty():
@@ -161,23 +165,22 @@ def candidates(asked: DataFrame, index: DataFrame, n_index: int, n_blocks: int)
         asked = asked.join(sizes.drop("n"), on, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
         on = [*on, "part"]
     pairs = asked.withColumnRenamed("key", "q").join(index, on)
-    return _packed(pairs, n_blocks).groupBy("q", "vb").agg(F.collect_list("keys").alias("keys"))
+    return _packed(pairs).groupBy("q", "vb").agg(F.collect_list("slots").alias("slots"))
 
 
 def _nearest(k: int):
-    """Of a block of rows and the queries that have candidates there (all its rows where keys is null): the k best of each."""
+    """Of a block of rows and the queries that have candidates there (all its rows where slots is null): the k best of each."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            key, ids = (right.column(c).to_numpy() for c in ("key", "id"))
-            order = np.argsort(key, kind="stable")
-            key, ids, v = key[order], ids[order], _matrix(right.column("vec").combine_chunks())[order]
-            q, lists = _matrix(left.column("vec").combine_chunks()), left.column("keys").combine_chunks()
+            order = np.argsort(right.column("slot").to_numpy())  # slots are 0 to the number of rows
+            key, ids = (right.column(c).to_numpy()[order] for c in ("key", "id"))
+            v = _matrix(right.column("vec").combine_chunks())[order]
+            q, lists = _matrix(left.column("vec").combine_chunks()), left.column("slots").combine_chunks()
             for r, name in enumerate(left.column("q").to_pylist()):
                 if lists[r].is_valid:
-                    at = np.unique(np.searchsorted(key, np.frombuffer(b"".join(lists[r].as_py()), np.int64)))
-                    at = at[at < len(key)]
+                    at = np.unique(np.frombuffer(b"".join(lists[r].as_py()), "<u2"))
                 else:
                     at = np.arange(len(key))
                 with np.errstate(over="ignore", invalid="ignore"):
@@ -206,21 +209,23 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 20, id_col="vec_id",
 
     first = W.partitionBy("key").orderBy("id")
     copies = scratch.table(rows.select("key", "id").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1), "copies", rows.count())
-    alone = scratch.table(rows.join(copies.where("r = 1").select("id"), "id", "left_semi"), "distinct", 20 * rows.count())
-    n = alone.count()
+    n = copies.where("r = 1").count()
+    n_blocks = n // ROWS + 1
+    alone = rows.join(copies.where("r = 1").select("id"), "id", "left_semi").withColumn("vb", F.pmod("key", F.lit(n_blocks)).cast("int"))
+    slot = (F.row_number().over(W.partitionBy("vb").orderBy("key")) - 1).cast("int")
+    alone = scratch.table(alone.withColumn("slot", slot), "distinct", 20 * rows.count())
     points = scratch.table(asked.join(asked.groupBy("key").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("key", "vec"), "points", 200 * asked.count())
     choice = axes(n, dim, per_cell)
-    n_blocks = n // ROWS + 1
-    index = scratch.table(_hashed(alone, tables, choice, 0, seed), "index", n * tables)
-    hits = scratch.table(candidates(_hashed(points, tables, choice, probes, seed), index, n * tables, n_blocks), "candidates")
-    blocks = alone.withColumn("vb", F.pmod("key", F.lit(n_blocks)).cast("int"))
+    spots = alone.select((F.col("vb").cast("long") * 65536 + F.col("slot")).alias("key"), "vec")
+    index = scratch.table(_hashed(spots, tables, choice, 0, seed), "index", n * tables)
+    hits = scratch.table(candidates(_hashed(points, tables, choice, probes, seed), index, n * tables), "candidates")
 
     def best(hits: DataFrame) -> DataFrame:
         """The k + 1 best keys of each query among its candidates, as rows q, key, id, score."""
         n_parts = max(1, -(-hits.count() // (n_blocks * QUERIES)))
         left = hits.join(points.select(F.col("key").alias("q"), "vec"), "q").withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_parts)).cast("int"))
-        right = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-        found = left.select("vb", "qb", "q", "vec", "keys").groupBy("vb", "qb").cogroup(right.select("vb", "qb", "key", "id", "vec").groupBy("vb", "qb")).applyInArrow(_nearest(k + 1), "q long, key long, id long, score double")
+        right = alone.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+        found = left.select("vb", "qb", "q", "vec", "slots").groupBy("vb", "qb").cogroup(right.select("vb", "qb", "slot", "key", "id", "vec").groupBy("vb", "qb")).applyInArrow(_nearest(k + 1), "q long, key long, id long, score double")
         order = W.partitionBy("q").orderBy(F.desc("score"), "id")
         return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
 
@@ -236,7 +241,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 20, id_col="vec_id",
     few = points.join(near.where(F.size("near") >= enough).select(F.col("q").alias("key")), "key", "left_anti").select(F.col("key").alias("q"))
     few = scratch.table(few, "few", points.count())
     if not few.isEmpty():
-        whole = few.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("keys", F.lit(None).cast("array<binary>"))
+        whole = few.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("slots", F.lit(None).cast("array<binary>"))
         near = near.join(few, "q", "left_anti").unionByName(spread(best(whole)))
     near = near.withColumnRenamed("q", "key").join(asked.groupBy("key").agg(F.count("*").alias("n")), "key")
     near = scratch.table(near, "answers", points.count())
