@@ -23,9 +23,11 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten()).reshape(len(column), -1)
 
 
-def exact(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2", include_self: bool = False) -> DataFrame:
+def exact(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2", include_self: bool = False, after: tuple[float, int] | None = None) -> DataFrame:
     """Rows qid, doc_id, dist, rank of (id, vec) tables: each query's k nearest, ties to the smaller id.
 
+    after: only what follows a (distance, id) in that order counts, which gives the next page of a result.
+
     Both sides go in blocks of bounded size, each pair of blocks is one matrix product, and only its k nearest a query
     leave it; the distance is then computed anew from the two vectors, component after component.
     """
@@ -45,7 +47,13 @@ def exact(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2"
                 if not include_self:
                     d[qid[i : i + 128, None] == vid[None]] = np.inf
                 m = min(k, len(v))
-                last = np.partition(d, m - 1, 1)[:, m - 1, None]
+                if after is None:
+                    far = d
+                else:  # near the bound, the distance computed anew decides
+                    slack = 1e-9 * max(1.0, abs(after[0]))
+                    d[d < after[0] - slack] = np.inf
+                    far = np.where(d > after[0] + slack, d, np.inf)
+                last = np.partition(far, m - 1, 1)[:, m - 1, None]
                 r, c = np.nonzero((d <= last + 1e-9 * np.maximum(1, np.abs(last))) & (d < np.inf))
                 a, b = q[i + r], v[c]
                 if metric == "l2":
@@ -55,6 +63,9 @@ def exact(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2"
                     if metric == "cosine":
                         got = got / np.maximum(1e-12, np.sqrt(np.cumsum(a * a, 1)[:, -1]) * np.sqrt(np.cumsum(b * b, 1)[:, -1]))
                     got = -got
+                if after is not None:
+                    beyond = (got > after[0]) | (got == after[0]) & (vid[c] > after[1])
+                    r, c, got = r[beyond], c[beyond], got[beyond]
                 order = np.lexsort((vid[c], got, r))
                 r, c, got = r[order], c[order], got[order]
                 own = np.arange(len(r)) - np.searchsorted(r, r) < k

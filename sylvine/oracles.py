@@ -96,6 +96,11 @@ coded AS MATERIALIZED (SELECT id, y, list_transform(range(1, {dim + 1}), lambda
 z AS (SELECT qid, doc_id FROM (SELECT t.qid, t.doc_id, row_number() OVER (PARTITION BY t.qid ORDER BY list_inner_product(q.y, c.code::DOUBLE[]) * {scale} DESC, t.doc_id) AS place FROM t JOIN coded q ON q.id = t.qid JOIN coded c ON c.id = t.doc_id) WHERE place <= {kept})"""
 
 
+def projection(dim_in: int, dim_out: int, seed: int) -> str:
+    columns = kernel.sparse_projection(dim_in, dim_out, seed).T
+    return f"WITH m(place, w) AS (VALUES {', '.join(f'({j}, {_doubles(c)})' for j, c in enumerate(columns))}),\n{VECTORS}\n"
+
+
 def seeds(forest: Forest, version: int = 3) -> str:
     """The planes of a forest from the seed rule itself, in 128-bit integers: rows tree, node, place, dim, weight."""
     word, full = "18446744073709551616::HUGEINT", forest.dim

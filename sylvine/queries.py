@@ -15,13 +15,14 @@ from sylvine import oracles as Q
 from sylvine.functions.distance import normalised
 from sylvine.functions.forest import Forest
 from sylvine.operators import documents as D, knn, meta as M, quantise, votes as V
+from sylvine.operators.project import projected
 from sylvine.oracles import DOT, L2
-from sylvine.plans import search as S
+from sylvine.plans import jobs, search as S
 from sylvine.plans.search import SearchSpec
 from sylvine.scratch import Scratch
 from sylvine.sources import bitmaps
 from sylvine.sources.vectors import papers
-from sylvine.streaming.live import Catalog, LiveIndex
+from sylvine.streaming.live import Catalog, LiveIndex, Store
 from sylvine.streaming.sink import MetadataSink
 
 SMALL = Forest(n_trees=4, depth=4, dim=64)
@@ -307,6 +308,14 @@ def _multi_forest(spark, d):
     return V.votes(probed, posted, 4)
 
 
+def _resumed(spark, d):
+    """A build of postings in four parts, of which one is lost and built again."""
+    path = _folder(spark, "build")
+    jobs.build(corpus(spark, d), SMALL, path, 4)
+    Store(spark, path).drop("part=1")
+    return _leaves(jobs.build(corpus(spark, d), SMALL, path, 4)[0])
+
+
 def _sinked(spark, d):
     """Metadata inserted in two batches, deleted by a condition, compacted."""
     sink = MetadataSink(spark, _folder(spark, "meta"))
@@ -332,12 +341,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r13_node_perm_route": lambda s, d: _leaves(V.postings(corpus(s, d), PERMUTED)),
     "r14_live_medians": live_medians,
     "r15_median_route": lambda s, d: _leaves(V.postings(corpus(s, d), replace(SMALL, medians=V.median_sample(corpus(s, d), SMALL, 3)))),
+    "r19_projection": lambda s, d: projected(corpus(s, d), 64, 8, 7).select("id", F.posexplode("vec").alias("place", "value")).withColumn("value", F.round("value", 6)),
     "s17_leaf_scan": lambda s, d: V.leaf_scan(V.postings(corpus(s, d), SMALL), 1, 3),
     "p3_single_flip": lambda s, d: _paths(V.probes(asked(s, d), SMALL, 3)),
     "p6_multi_flip": lambda s, d: _paths(V.probes(asked(s, d), SMALL, 6, multi=True)),
     "p7_top_paths": lambda s, d: _paths(V.top_paths(V.probes(asked(s, d), SMALL, 3, span=3), 8)),
     "p8_paths_by_size": lambda s, d: V.top_paths_by_size(V.probes(asked(s, d), SMALL), V.leaf_sizes(V.postings(corpus(s, d), SMALL)), 2).select("qid", F.col("tree").cast("long").alias("tree"), F.col("leaf").cast("long").alias("leaf")),
-    "p11_capped_votes": lambda s, d: V.votes(V.capped(V.probes(asked(s, d), SMALL), V.leaf_sizes(V.postings(corpus(s, d), SMALL)), 40), V.postings(corpus(s, d), SMALL), 4),
+    "p11_capped_votes": lambda s, d: V.votes(V.capped(V.probes(asked(s, d), SMALL), V.leaf_sizes(V.postings(corpus(s, d), SMALL)), -(-corpus(s, d).count() // 13)), V.postings(corpus(s, d), SMALL), 4),
     "p14_guided_descent": lambda s, d: _paths(V.guided(asked(s, d), V.postings(corpus(s, d), SMALL), labels_of(s, d).where("label = 3"), SMALL)),
     "p15_steered": lambda s, d: V.steered(V.probes(asked(s, d), SMALL), V.postings(corpus(s, d), SMALL), labels_of(s, d).where("label = 3")).select("qid", F.col("tree").cast("long").alias("tree"), F.col("leaf").cast("long").alias("leaf")),
     "v1_votes": _votes,
@@ -371,7 +381,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d3_knn_ip": lambda s, d: tidy(knn.exact(asked(s, d), corpus(s, d), 10, "ip")),
     "d6_tq4_rerank": _quantised(4),
     "d7_tq1_rerank": _quantised(1),
-    "d10_padded_truth": lambda s, d: knn.pad_truth(knn.exact(asked(s, d), corpus(s, d).where("id % 97 = 3"), 10), asked(s, d), 10).withColumn("rank", F.col("rank").cast("long")),
+    "d10_padded_truth": lambda s, d: knn.pad_truth(knn.exact(asked(s, d), corpus(s, d).join(labels_of(s, d).where("label = 3 AND year = 2018").select(F.col("doc_id").alias("id")), "id", "left_semi"), 10), asked(s, d), 10).withColumn("rank", F.col("rank").cast("long")),
     "d11_running_truth": lambda s, d: tidy(knn.running(asked(s, d), [corpus(s, d).where(F.col("id") % 3 == i) for i in range(3)], 10)),
     "d12_recall": _recall,
     "c1_chunks": _chunked,
@@ -388,13 +398,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m5_compacted_deeper": compaction,
     "m10_hot_search": hot_search,
     "m11_hot_compaction": hot_compaction,
+    "m15_resumed_build": _resumed,
     "m19_delete_where": delete_where,
     "m20_balance": _drift,
     "x3_pattern_search": pattern_search,
     "x5_leaf_stats": lambda s, d: V.leaf_sizes(V.postings(corpus(s, d), SMALL)).groupBy("tree").agg(F.count("*").alias("leaves"), F.max("n_docs").alias("fullest")).select(F.col("tree").cast("long").alias("tree"), "leaves", "fullest"),
     "a_percentiles": lambda s, d: table(s, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", p), 6).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]),
     "a_histogram": lambda s, d: table(s, d, "events").withColumn("bound", F.explode(F.array(*[F.lit(float(b)) for b in (1, 5, 10, 50, 100)]))).groupBy("bound").agg(F.count_if(F.col("value") <= F.col("bound")).alias("n")),
-    "a_page_after": lambda s, d: tidy(S.page_after(knn.exact(asked(s, d), corpus(s, d), 20), 1.0, 0, 5)),
+    "a_page_after": lambda s, d: tidy(knn.exact(asked(s, d), corpus(s, d), 5, after=(1.0, 0))),
 }
 
 
@@ -451,12 +462,13 @@ UNION SELECT qid, doc_id FROM (SELECT q.id AS qid, c.id AS doc_id, row_number()
         "r13_node_perm_route": _with(Q.planes(PERMUTED), Q.VECTORS, Q.routed(PERMUTED)) + "SELECT doc_id, tree, leaf FROM p",
         "r14_live_medians": _with(*start, Q.routed(SMALL, med_depth=3)) + "SELECT doc_id, tree, leaf FROM p",
         "r15_median_route": _with(*start, Q.routed(SMALL, med_depth=3)) + "SELECT doc_id, tree, leaf FROM p",
+        "r19_projection": Q.projection(64, 8, 7) + "SELECT id, place::INT AS place, round(list_inner_product(v.v, w), 6) AS value FROM v, m",
         "s17_leaf_scan": f + "SELECT doc_id FROM p WHERE tree = 1 AND leaf = 3",
         "p3_single_flip": probing(3) + f"{three} q",
         "p6_multi_flip": probing(6, multi=True) + f"{three} q",
         "p7_top_paths": probing(3, min_flip=1) + f"{three} q QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, tree, leaf) <= 8",
         "p8_paths_by_size": f + ", r AS (SELECT q.*, row_number() OVER (PARTITION BY qid ORDER BY n_docs DESC, tree, leaf) AS place FROM q JOIN sizes USING (tree, leaf)) SELECT qid, tree, leaf FROM r WHERE place <= 2",
-        "p11_capped_votes": f + "SELECT qid, doc_id, count(*) AS votes FROM q JOIN p USING (tree, leaf) JOIN sizes USING (tree, leaf) WHERE n_docs <= 40 GROUP BY qid, doc_id",
+        "p11_capped_votes": f + "SELECT qid, doc_id, count(*) AS votes FROM q JOIN p USING (tree, leaf) JOIN sizes USING (tree, leaf) WHERE n_docs <= (SELECT ceil(count(*) / 13) FROM embeddings) GROUP BY qid, doc_id",
         "p14_guided_descent": _with(*start, Q.routed(SMALL), Q.guided(SMALL, "label = 3")) + f"{three} g",
         "p15_steered": f + "SELECT qid, tree, leaf FROM q SEMI JOIN (SELECT p.* FROM p JOIN v ON v.id = p.doc_id WHERE label = 3) USING (tree, leaf)",
         "v1_votes": f + "SELECT qid, doc_id, votes FROM votes",
@@ -490,7 +502,7 @@ UNION SELECT qid, doc_id FROM (SELECT q.id AS qid, c.id AS doc_id, row_number()
         "d3_knn_ip": _knn_sql(f"-{DOT}"),
         "d6_tq4_rerank": quantised(4),
         "d7_tq1_rerank": quantised(1),
-        "d10_padded_truth": f"SELECT q.qid, g.rank, coalesce(t.doc_id, -1) AS doc_id FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0) q CROSS JOIN (SELECT unnest(range(1, 11)) AS rank) g LEFT JOIN ({_knn_sql(L2, where='c.id % 97 = 3')}) t ON t.qid = q.qid AND t.rank = g.rank",
+        "d10_padded_truth": f"SELECT q.qid, g.rank, coalesce(t.doc_id, -1) AS doc_id FROM (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 50 = 0) q CROSS JOIN (SELECT unnest(range(1, 11)) AS rank) g LEFT JOIN ({_knn_sql(L2, where='c.label = 3 AND c.id % 10 = 3')}) t ON t.qid = q.qid AND t.rank = g.rank",
         "d11_running_truth": _knn_sql(L2),
         "d12_recall": found.rstrip() + f",\n{exact} SELECT round(count(r.doc_id) / count(*)::DOUBLE, 9) AS recall FROM e LEFT JOIN r ON e.qid = r.qid AND e.doc_id = r.doc_id",
         "c1_chunks": Q.CHUNKS.format(size=D.SIZE, overlap=D.OVERLAP, near=min(80, D.SIZE // 4)),
@@ -509,11 +521,12 @@ SELECT t.qid, t.place, t.parent, t.seq, t.dist, string_agg(c.text, '|' ORDER BY
         "m5_compacted_deeper": _with(Q.planes(deep), Q.VECTORS, Q.routed(deep, "(SELECT * FROM v WHERE id % 5 < 4)")) + "SELECT doc_id, tree, leaf FROM p",
         "m10_hot_search": _with(*start, Q.routed(SMALL), Q.probed(SMALL, 3), Q.voted(), Q.reranked("1000000", 10, True)) + rows,
         "m11_hot_compaction": "SELECT tree, count(*) AS n, count(*) AS n_docs FROM embeddings, (SELECT unnest(range(4)) AS tree) GROUP BY tree",
+        "m15_resumed_build": f + "SELECT doc_id, tree, leaf FROM p",
         "m19_delete_where": "SELECT vec_id AS doc_id, label >= 3 AS described FROM embeddings WHERE vec_id % 2 = 1 OR label >= 3",
         "m20_balance": f + "SELECT round(max(peak), 9) AS peak, round(avg(cv), 9) AS cv FROM (SELECT tree, max(n_docs) / avg(n_docs) AS peak, stddev_pop(n_docs) / avg(n_docs) AS cv FROM sizes GROUP BY tree)",
         "x3_pattern_search": f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, index, doc_id) AS rank, index, doc_id, round(dist, 6) AS dist FROM (SELECT 'docs-202401' AS index, * FROM ({patterned(0)}) UNION ALL SELECT 'docs-202402', * FROM ({patterned(1)})) QUALIFY rank <= 10",
         "x5_leaf_stats": f + "SELECT tree, count(*) AS leaves, max(n_docs) AS fullest FROM sizes GROUP BY tree",
         "a_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",
         "a_histogram": "SELECT b::DOUBLE AS bound, count(*) FILTER (value <= b) AS n FROM events CROSS JOIN (SELECT unnest([1, 5, 10, 50, 100]) AS b) GROUP BY b",
-        "a_page_after": f"WITH k AS ({_knn_sql(L2, 20).replace('round(dist, 6) AS dist', 'dist')}), a AS (SELECT qid, doc_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, doc_id) AS rank FROM k WHERE dist > 1.0 OR (dist = 1.0 AND doc_id > 0)) SELECT qid, rank, doc_id, round(dist, 6) AS dist FROM a WHERE rank <= 5",
+        "a_page_after": _knn_sql(L2, 5, where=f"({L2}) > 1.0 OR ({L2}) = 1.0 AND c.id > 0"),
     }

@@ -54,6 +54,16 @@ def test_empty_and_odd_vectors(spark):
         S.SearchSpec(top_k=0)
 
 
+def test_pages_follow_one_another(spark, monkeypatch):
+    monkeypatch.setattr(knn, "ROWS", 90)
+    df, _ = clustered(spark)
+    q = df.where("id = 50")
+    whole = knn.exact(q, df, 30).orderBy("rank").collect()
+    for at in (0, 7, 19):
+        page = knn.exact(q, df, 10, after=(whole[at].dist, whole[at].doc_id)).orderBy("rank").collect()
+        assert [r.doc_id for r in page] == [r.doc_id for r in whole[at + 1 : at + 11]]
+
+
 def test_vote_operators(spark):
     df, _ = clustered(spark)
     q, posted = df.where("id % 50 = 0"), V.postings(df, FOREST).cache()
