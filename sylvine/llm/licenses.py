@@ -9,8 +9,8 @@ window holds at least 80 % of the template's distinct shingles.
 
 Templates are a table (license, template), short notices and whole license texts. Texts that have none of its shingles are
 left out by a semi join of all shingles, windows that have none of a length's templates' by an overlap, as both can share
-no band; bands are then joined. Spark broadcasts the sides made of templates where they are small and shuffles else. The
-driver holds the distinct lengths of templates. All of it is DataFrame functions.
+no band; bands are then joined. The sides made of templates are broadcast where these have SMALL shingles at most, which
+the driver counts, and shuffled else. It also holds the distinct lengths of templates. All of it is DataFrame functions.
 
 A very long text is one array of shingles, 8 bytes a word, and its windows are rows. Null and empty texts have no words and
 match nothing. Of equal windows the first counts. Null ids are ids of their own. Repeated rows of one id count as one text each and give one row with
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-WORDS, PERMUTATIONS, CONTAINMENT = 5, 16, 0.8
+WORDS, PERMUTATIONS, CONTAINMENT, SMALL = 5, 16, 0.8, 100_000
 # Short public notices by which licenses are named in texts, and whole public license texts.
 TEMPLATES = {
     "mit": "Released under the MIT License",
@@ -93,6 +93,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col="doc_id", t
     known = template_table(spark) if templates is None else templates
     known = known.select("license", _shingles(_words(F.col("template"))).alias("t")).where(F.size("t") > 0)
     known = known.select("license", F.size("t").alias("tm"), F.array_distinct("t").alias("t"), _bands(F.col("t")).alias("b"))
+    count = known.agg(F.sum(F.size("t"))).first()[0] or 0
+    side = F.broadcast if count <= SMALL else lambda x: x  # each table below has at most PERMUTATIONS * 9 bytes a shingle
     lengths = known.select("tm", F.explode("t").alias("x")).groupBy("tm").agg(F.collect_set("x").alias("every"))
     sizes = [r.tm for r in known.select("tm").distinct().orderBy("tm").collect()]
     sizes = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(-(-m // 4)).alias("step")) for m in sizes])
@@ -101,15 +103,15 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col="doc_id", t
     # explode() of one value keeps the optimiser from putting its expression in place of each use, inside lambdas too.
     once = lambda c: F.explode(F.array(c))
     shingled = docs.select(F.col(id_col).alias("doc_id"), once(_words(F.col(text_col))).alias("words")).select("doc_id", once(_shingles(F.col("words"))).alias("s"))
-    named = shingled.select("doc_id", F.explode("s").alias("x")).join(known.select(F.explode("t").alias("x")).distinct(), "x", "left_semi").select(F.col("doc_id").alias("named")).distinct()
+    named = shingled.select("doc_id", F.explode("s").alias("x")).join(side(known.select(F.explode("t").alias("x")).distinct()), "x", "left_semi").select(F.col("doc_id").alias("named")).distinct()
     few = docs.join(named, F.col(id_col).eqNullSafe(F.col("named")), "left_semi")
     x = few.select(F.col(id_col).alias("doc_id"), once(_words(F.col(text_col))).alias("words")).select("doc_id", once(_shingles(F.col("words"))).alias("s"))
     x = x.select("doc_id", "s", F.explode(sizes).alias("k")).select("doc_id", "s", "k.m", "k.step")
-    x = x.join(lengths, F.col("m") == F.col("tm")).drop("tm").where(F.arrays_overlap("s", "every"))
+    x = x.join(side(lengths), F.col("m") == F.col("tm")).drop("tm").where(F.arrays_overlap("s", "every"))
     x = x.select("doc_id", "s", "m", "step", "every", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.col("step"))).alias("shingle"))
     x = x.select("doc_id", "m", "shingle", "every", once(F.slice("s", F.col("shingle") + 1, F.col("m") + F.col("step"))).alias("w"))
     x = x.where(F.arrays_overlap("w", "every")).select("doc_id", "m", "shingle", "w", F.posexplode(_bands(F.col("w"))).alias("p", "value"))
-    found = x.join(bands, (F.col("m") == F.col("tm")) & (F.col("p") == F.col("tp")) & (F.col("value") == F.col("tvalue")))
+    found = x.join(side(bands), (F.col("m") == F.col("tm")) & (F.col("p") == F.col("tp")) & (F.col("value") == F.col("tvalue")))
     share = F.size(F.array_intersect("w", "t")) / F.size("t")
     found = found.select("doc_id", "license", share.alias("containment"), "shingle").where(F.col("containment") >= containment)
     best = found.groupBy("doc_id", "license").agg(F.min(F.struct((-F.col("containment")).alias("c"), "shingle")).alias("b"))

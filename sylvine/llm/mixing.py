@@ -9,7 +9,8 @@ fixed size in words; the document at the cut gives just the words still missing.
 The cut is found without gathering a source in one task: words are summed by source and by one of BINS ranges of the
 rank, a running sum over those few rows finds the range with the cut, and only that range's documents are sorted.
 
-Null or empty text: size 0, nothing taken. Null source: a source of its own, the last. Repeated rows are documents of
+Rows of equal rank are ordered by id and size, so a tie at the cut is decided alike in every run. A very long text is one
+value whose words are counted in the JVM. Null or empty text: size 0, nothing taken. Null source: a source of its own, the last. Repeated rows are documents of
 their own. An empty table gives an empty result. Only the named columns are read, so others may have any names.
 """
 

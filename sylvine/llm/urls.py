@@ -8,7 +8,7 @@ only its host's entries of its own bucket, so a listing that changes often stays
 never grouped, and a hot host's rows can be split by Spark's skew handling as they only meet one row a bucket.
 
 All of it is DataFrame functions. Null or malformed URLs have the empty host and match nothing; a null time matches
-nothing. Entries with a null field don't count. Repeated captures stay, repeated entries change nothing. An empty table
+nothing. A very long URL is one value, of which only the host goes on. Entries with a null field don't count. Repeated captures stay, repeated entries change nothing. An empty table
 gives an empty result. Only the named columns are read.
 """
 

@@ -77,3 +77,40 @@ def test_suffix_stage_cuts_passages_and_keeps_replacement_characters(spark):
     want = brute_cut([t for _, t, _ in rows])
     assert got == Counter((i, w, s, None if w is None else len(w)) for (i, _, s), w in zip(rows, want, strict=True))
     assert sum(w != t for (_, t, _), w in zip(rows, want, strict=True)) > 10 and want[0].count("\ufffd") == 2
+
+
+CLASHES = ("of", "times", "copy", "touched", "new_text", "row", "carried", "count", "id", "r1", "part", "n", "size", "component", "component_id", "bucket", "x", "y", "taken", "label", "quality", "score")
+
+
+def test_stages_take_columns_of_any_name_and_rows_without_an_id(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    rows = [(i if i % 4 else None, text(30 + i % 20), ("a", "b", None)[i % 3]) for i in range(40)]
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, rows).selectExpr("*", *[f"'{c}' AS `{c}`" for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        found = got.collect()
+        assert all(r[c] == c for r in found for c in CLASHES), name
+        if stage in (corpus_pipeline.neardup_stage, corpus_pipeline.suffix_stage):
+            assert Counter((r.doc_id, r.text) for r in found) == Counter((i, t) for i, t, _ in rows), name
+        assert any(r.doc_id is None for r in found) or stage is corpus_pipeline.quality_stage, name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.segment_stage(spark, docs, "").select("doc_id").where("doc_id IS NULL").count() >= 10
+
+
+def test_neardup_stage_keeps_one_of_each_group(spark):
+    rng = np.random.default_rng(11)
+    rows, group = [], {}
+    for g in range(12):
+        base = [f"w{i}" for i in rng.integers(0, 10**6, 150)]
+        for j in range(int(rng.integers(1, 6))):
+            own = list(base)
+            if j:
+                own[int(rng.integers(0, 150))] = f"z{j}"  # 5 of 146 shingles: a similarity of 0.93 with the base, 0.87 with one another
+            group[100 * g + j] = 100 * g
+            rows.append((100 * g + j, " ".join(own), "a"))
+    loose = [(None, rows[0][1], "a"), (None, "", "a"), (7000, "", None), (7001, None, None)]
+    got = corpus_pipeline.neardup_stage(spark, table(spark, rows + loose), "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, _ in rows if group[i] == i) + Counter((i, t) for i, t, _ in loose)
