@@ -44,6 +44,14 @@ def _hash(buf: np.ndarray) -> np.ndarray:
     return sums
 
 
+def _heads(byte, size: int) -> np.ndarray:
+    """16 bits of the first bytes of strings of a size, from rows of their first four bytes."""
+    if size < 2:
+        return byte[0].astype(np.uint16)
+    two = byte[0].astype(np.uint16) | byte[1].astype(np.uint16) << 8
+    return two if size < 4 else two * np.uint16(40503) ^ (byte[2].astype(np.uint16) | byte[3].astype(np.uint16) << 8)
+
+
 def _uniform(key: np.ndarray) -> np.ndarray:
     return ((mix(key) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
@@ -81,13 +89,20 @@ class Vocabulary:
         for size, rows in sorted(by_size.items()):
             rows.sort()
             ids = np.array([i for _, i in rows])
-            self.tables[size] = (np.array([h for h, _ in rows], np.uint64), ids, np.array([weights[i] for i in ids.tolist()]))
-        self.kept, self.places = None, {}
+            heads = np.zeros(1 << 16, bool)  # tells most places where no piece of this size begins at once
+            first = np.frombuffer(b"".join(self.bytes[i][:4].ljust(4, b"\0") for i in ids.tolist()), np.uint8).reshape(-1, 4)
+            heads[_heads(first.T, size)] = True
+            self.tables[size] = (np.array([h for h, _ in rows], np.uint64), ids, np.array([weights[i] for i in ids.tolist()]), heads)
+        self.forget()
         flat = b"".join(self.bytes)
         self.flat = np.frombuffer(flat, np.uint8)
         self.size = np.array([len(x) for x in self.bytes])
         self.begin = np.cumsum(self.size) - self.size
 
+    def forget(self) -> None:
+        """Drops the kept lattice."""
+        self.kept, self.known, self.places = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
     def spell(self, ids: np.ndarray) -> bytes:
         """The bytes of pieces, one after another."""
         size = self.size[ids]
@@ -108,9 +123,12 @@ class Vocabulary:
             h = mix((sums[starts + sizes] - sums[starts]) * powers(INVERSE, len(buf) + 1)[starts] + sizes.astype(np.uint64))
         distinct, where, kind = np.unique(h, return_index=True, return_inverse=True)
         if self.kept is None or len(self.kept.to) > KEPT:
-            self.kept, self.places = None, {}
-        place = np.array([self.places.get(x, -1) for x in distinct.tolist()], np.int64)
-        fresh = np.flatnonzero(place < 0)
+            self.forget()
+        slot = np.searchsorted(self.known, distinct)
+        old = np.append(self.known, np.uint64(0))[slot] == distinct
+        old &= slot < len(self.known)
+        place = np.where(old, np.append(self.places, 0)[slot], -1)
+        fresh = np.flatnonzero(~old)
         if len(fresh) or self.kept is None:
             size = sizes[where[fresh]]
             stop = np.cumsum(size)
@@ -119,7 +137,7 @@ class Vocabulary:
             n = len(self.kept.start) if self.kept else 0
             self.kept = self.kept.extended(new) if self.kept else new
             place[fresh] = np.arange(n, n + len(fresh))
-            self.places.update(zip(distinct[fresh].tolist(), place[fresh].tolist(), strict=True))
+            self.known, self.places = np.insert(self.known, slot[fresh], distinct[fresh]), np.insert(self.places, slot[fresh], place[fresh])
         return self.kept, place[kind]
 
 
@@ -136,9 +154,12 @@ class Lattice:
         single = np.zeros(n, bool)  # whether a character has a piece of its own
         lead = (buf & 0xC0) != 0x80
         width = np.select([buf < 0x80, buf < 0xE0, buf < 0xF0], [1, 2, 3], 4)
+        near = np.concatenate([buf, np.zeros(3, np.uint8)])
+        near = [near[j : n + j] for j in range(4)]
+        codes = {size: _heads(near, size) for size in (1, 2, 4)}
         with np.errstate(over="ignore"):
-            for size, (hashes, own_ids, own_weights) in vocabulary.tables.items():
-                pos = np.flatnonzero(lead & (left >= size))
+            for size, (hashes, own_ids, own_weights, heads) in vocabulary.tables.items():
+                pos = np.flatnonzero(heads[codes[1 if size < 2 else 2 if size < 4 else 4]] & lead & (left >= size))
                 if not len(pos):
                     continue
                 h = mix((sums[pos + size] - sums[pos]) * powers(INVERSE, n + 1)[pos])
@@ -162,7 +183,7 @@ class Lattice:
         self.end = end + np.arange(len(sizes))
         self.to, self.id = dst + shift, ids
         nodes = n + len(sizes)
-        self.first = np.searchsorted(src + shift, np.arange(nodes + 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(src + shift, minlength=nodes))])
         # Backward sums, from the parts' ends on: nodes at the same distance from the end together.
         back = np.full(nodes, -np.inf)
         back[self.end] = 0
@@ -462,7 +483,7 @@ def encode(docs: DataFrame, model: str, k: int = SAMPLES, id_col="doc_id", text_
                     ids = pa.Array.from_buffers(pa.large_binary(), len(flat), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]) * 2), pa.py_buffer(data)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([s for x in got for s in range(1, len(x) + 1)], pa.int32()), pa.array(sizes), pa.array([y[1] for y in flat], pa.float64()), pa.array([y[2] for y in flat], pa.float64()), ids], ["doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "ids"])
         finally:  # an idle worker is kept; its lattice needn't be
-            vocabulary.kept, vocabulary.places = None, {}
+            vocabulary.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     x = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(text_col).cast("string").alias("text"))
