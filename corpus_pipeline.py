@@ -44,11 +44,12 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps one document of each group of near-duplicates."""
     found = neardup.group(docs, percent=PERCENT, scratch=_scratch(spark, "neardup"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    # Of rows that repeat an id only one stays.
+    # Of rows that repeat an id only one stays, that of the least hash of its text.
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("order"))
+    once = once.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
