@@ -42,7 +42,7 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    x = segment.decode(segment.encode(table(spark, sf_dir, "documents"), model), model)
+    x = segment.decode(segment.encode(table(spark, sf_dir, "documents"), model, kept=5_000_000), model)
     return x.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", F.crc32("ids").alias("ids_crc32"), F.crc32("text").alias("text_crc32"))
 
 

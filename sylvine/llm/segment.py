@@ -93,6 +93,7 @@ class Vocabulary:
             first = np.frombuffer(b"".join(self.bytes[i][:4].ljust(4, b"\0") for i in ids.tolist()), np.uint8).reshape(-1, 4)
             heads[_heads(first.T, size)] = True
             self.tables[size] = (np.array([h for h, _ in rows], np.uint64), ids, np.array([weights[i] for i in ids.tolist()]), heads)
+        self.most = KEPT
         self.forget()
         flat = b"".join(self.bytes)
         self.flat = np.frombuffer(flat, np.uint8)
@@ -117,12 +118,12 @@ class Vocabulary:
         return np.flatnonzero(cut)
 
     def lattice(self, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[Lattice, np.ndarray]:
-        """A lattice that has all the parts, and each part's place in it. Parts of earlier batches are kept up to KEPT edges."""
+        """A lattice that has all the parts, and each part's place in it. Parts of earlier batches are kept up to `most` edges."""
         sums = _hash(buf)
         with np.errstate(over="ignore"):
             h = mix((sums[starts + sizes] - sums[starts]) * powers(INVERSE, len(buf) + 1)[starts] + sizes.astype(np.uint64))
         distinct, where, kind = np.unique(h, return_index=True, return_inverse=True)
-        if self.kept is None or len(self.kept.to) > KEPT:
+        if self.kept is None or len(self.kept.to) > self.most:
             self.forget()
         slot = np.searchsorted(self.known, distinct)
         old = np.append(self.known, np.uint64(0))[slot] == distinct
@@ -177,8 +178,8 @@ class Lattice:
         order = np.argsort(src, kind="stable")
         src, dst, ids, weights = src[order], dst[order], ids[order], weights[order]
         del order
-        step = (end[part[src]] - src).astype(np.int32) if len(src) else src
-        shift = part[src] if len(src) else src
+        shift = part[src].astype(np.int32) if len(src) else src
+        step = (end[shift] - src).astype(np.int32) if len(src) else src
         self.start = np.cumsum(sizes) - sizes + np.arange(len(sizes))
         self.end = end + np.arange(len(sizes))
         self.to, self.id = dst + shift, ids
@@ -206,43 +207,53 @@ class Lattice:
         with np.errstate(invalid="ignore"):
             self.share = np.where(total == -np.inf, -np.inf, total - back[node])  # log of the conditional probability
         self.prob = np.exp(self.share)
+        # The last edge of each node that leads to the end, so that rounding doesn't end a draw on one that doesn't.
+        self.last = self.first[1:] - 1
+        while len(self.share) and len(dead := np.flatnonzero((self.last > self.first[:-1]) & (self.share[np.maximum(self.last, 0)] == -np.inf))):
+            self.last[dead] -= 1
 
     def extended(self, other: Lattice) -> Lattice:
-        """This lattice with another's parts after its own."""
+        """This lattice with another's parts after its own; arrays grow in place, so this one must not be extended again."""
         out = object.__new__(Lattice)
-        nodes, edges = len(self.first) - 1, len(self.to)
-        for name, shift in (("start", nodes), ("end", nodes), ("to", nodes), ("id", 0), ("share", 0), ("prob", 0)):
+        nodes, edges = len(self.last), len(self.to)
+        out.room = getattr(self, "room", {})
+        for name, shift in (("start", nodes), ("end", nodes), ("to", nodes), ("id", 0), ("share", 0), ("prob", 0), ("last", edges), ("first", edges)):
             own, new = getattr(self, name), getattr(other, name)
-            setattr(out, name, np.concatenate([own, new + shift if shift else new]))
-        out.first = np.concatenate([self.first[:-1], other.first + edges])
+            n = len(own) - (name == "first")
+            room = out.room.get(name)
+            if room is None or len(room) < n + len(new):
+                room = np.empty(2 * (n + len(new)), own.dtype)
+                room[:n] = own[:n]
+                out.room[name] = room
+            room[n : n + len(new)] = new
+            if shift:
+                room[n : n + len(new)] += shift
+            setattr(out, name, room[: n + len(new)])
         return out
 
     def walk(self, node: np.ndarray, stop: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to its part's end by draws: all edges, walk after walk, and how many each walk has."""
         active = np.flatnonzero(node < stop)
-        node = node.copy()
+        at, stop, key = node[active], stop[active], key[active]
         count = np.zeros(len(node), np.int64)
         who, what, when = [], [], 0
         while len(active):
             with np.errstate(over="ignore"):
-                u = _uniform(key[active] + np.uint64(when) * np.uint64(0x9E3779B97F4A7C15))
-            e = self.first[node[active]]
-            last = self.first[node[active] + 1] - 1
-            rest = u - self.prob[e]
+                rest = _uniform(key + np.uint64(when) * np.uint64(0x9E3779B97F4A7C15))
+            e, last = self.first[at], self.last[at]
+            rest -= self.prob[e]
             go = np.flatnonzero((rest >= 0) & (e < last))
             while len(go):
                 e[go] += 1
                 rest[go] -= self.prob[e[go]]
                 go = go[(rest[go] >= 0) & (e[go] < last[go])]
-            dead = self.share[e] == -np.inf
-            while dead.any():  # rounding must not end on an edge that leads nowhere
-                e = np.where(dead, e - 1, e)
-                dead = self.share[e] == -np.inf
             who.append(active), what.append(e)
-            node[active] = self.to[e]
-            count[active] += 1
-            active = active[node[active] < stop[active]]
             when += 1
+            at = self.to[e]
+            on = at < stop
+            if not on.all():
+                count[active[~on]] = when
+                active, at, stop, key = active[on], at[on], stop[on], key[on]
         out = np.zeros(int(count.sum()), np.int64)
         begin = np.cumsum(count) - count
         for t, (a, e) in enumerate(zip(who, what, strict=True)):
@@ -459,11 +470,15 @@ def _prefixed(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], stop])
 
 
-def encode(docs: DataFrame, model: str, k: int = SAMPLES, id_col="doc_id", text_col="text", seed: int = SEED, offset: float = OFFSET, power: float = POWER) -> DataFrame:
-    """Rows doc_id, sample (from 1), n_pieces, log_prob, log_inclusion, ids (little-endian u16): up to k for each row."""
+def encode(docs: DataFrame, model: str, k: int = SAMPLES, id_col="doc_id", text_col="text", seed: int = SEED, offset: float = OFFSET, power: float = POWER, kept: int = KEPT) -> DataFrame:
+    """Rows doc_id, sample (from 1), n_pieces, log_prob, log_inclusion, ids (little-endian u16): up to k for each row.
+
+    kept: edges of earlier lattices that a worker holds, about 45 bytes each; more of them cost memory and save time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(model, offset, power)
+        vocabulary.most = kept
         try:
             for batch in batches:
                 buf, at = text_bytes(batch.column(2))
