@@ -41,6 +41,31 @@ def rotate(x: np.ndarray, seed: int = 1, rounds: int = 3) -> np.ndarray:
     return y
 
 
+def codes(y: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and scales of rotated vectors."""
+    scale = np.sqrt((y * y).mean(1))
+    if bits == 1:
+        return np.packbits(y > 0, 1, bitorder="little"), scale
+    level = np.searchsorted(EDGES, y / np.maximum(scale, 1e-12)[:, None]).astype(np.uint8)
+    return level[:, ::2] | level[:, 1::2] << 4, scale
+
+
+def levels(raw: np.ndarray) -> np.ndarray:
+    return np.stack([raw & 15, raw >> 4], 2).reshape(len(raw), 2 * raw.shape[1])
+
+
+def decoded(raw: np.ndarray, bits: int) -> np.ndarray:
+    """The vectors whose inner products with a rotated query are its scores, with 4 bits before they are scaled."""
+    return np.unpackbits(raw, axis=1, bitorder="little").astype(np.float64) if bits == 1 else CODE[levels(raw)]
+
+
+def scores(q: np.ndarray, raw: np.ndarray, scale: np.ndarray, bits: int) -> np.ndarray:
+    """Of each rotated query with the code in the same row, always the same for the same two."""
+    if bits == 1:
+        return (q * np.unpackbits(raw, axis=1, bitorder="little")[:, : q.shape[1]]).sum(1)
+    return (q * CODE[levels(raw)]).sum(1) * scale
+
+
 def encode(corpus: DataFrame, bits: int = 4, seed: int = 1) -> DataFrame:
     """Rows id, code, scale of (id, vec): two coordinates a byte, or eight with the first in the lowest bit."""
 
@@ -48,13 +73,7 @@ def encode(corpus: DataFrame, bits: int = 4, seed: int = 1) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = rotate(np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1), seed)
-            scale = np.sqrt((y * y).mean(1))
-            if bits == 1:
-                code = np.packbits(y > 0, 1, bitorder="little")
-            else:
-                level = np.searchsorted(EDGES, y / np.maximum(scale, 1e-12)[:, None]).astype(np.uint8)
-                code = level[:, ::2] | level[:, 1::2] << 4
+            code, scale = codes(rotate(np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1), seed), bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale)], ["id", "code", "scale"])
 
     return corpus.select("id", "vec").mapInArrow(run, "id long, code binary, scale double")
@@ -69,11 +88,7 @@ def select(candidates: DataFrame, queries: DataFrame, codes: DataFrame, kprime:
                 continue
             q = rotate(np.asarray(batch.column(2).flatten(), np.float64).reshape(batch.num_rows, -1), seed)
             raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            if bits == 1:
-                score = (q * np.unpackbits(raw, axis=1, bitorder="little")[:, : q.shape[1]]).sum(1)
-            else:
-                level = np.stack([raw & 15, raw >> 4], 2).reshape(len(raw), -1)
-                score = (q * CODE[level]).sum(1) * np.asarray(batch.column(4))
+            score = scores(q, raw, np.asarray(batch.column(4)), bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["qid", "doc_id", "score"])
 
     x = candidates.select("qid", "doc_id").join(codes.select(F.col("id").alias("doc_id"), "code", "scale"), "doc_id")

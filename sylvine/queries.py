@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sylvine import oracles as Q
 from sylvine.functions.distance import normalised
 from sylvine.functions.forest import Forest
-from sylvine.operators import documents as D, knn, meta as M, quantise, votes as V
+from sylvine.operators import blocks, documents as D, knn, meta as M, votes as V
 from sylvine.operators.project import projected
 from sylvine.oracles import DOT, L2
 from sylvine.plans import jobs, search as S
@@ -193,9 +193,7 @@ def _quantised(bits: int):
     def run(spark, d):
         x, q = corpus(spark, d), asked(spark, d)
         n = x.count()
-        found = S.candidates(q, V.postings(x, MID), MID, SearchSpec(n_probes=3, top_n=half(n))).select("qid", "doc_id")
-        kept = max(100, -(-n // 10))
-        return tidy(knn.rerank(quantise.select(found, q, quantise.encode(x, bits), kept, bits), q, x))
+        return tidy(blocks.search(q, x, MID, 3, half(n), max(100, -(-n // 10)), Scratch(spark, "quantised"), bits))
 
     return run
 
