@@ -29,7 +29,7 @@ def rows(found):
     return sorted((r.qid, r.rank, r.doc_id, repr(r.dist)) for r in found.collect())
 
 
-@pytest.mark.parametrize("bits", [4])
+@pytest.mark.parametrize("bits", [4, 1])
 @pytest.mark.parametrize("top_n,kept", [(130, 40), (60, 12), (3, 2), (1000, 1000)])
 def test_blocks_give_what_a_row_a_pair_gives(spark, tmp_path, monkeypatch, bits, top_n, kept):
     monkeypatch.setattr(blocks, "ROWS", 64)
@@ -53,7 +53,7 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["d6_tq4_rerank"])
+@pytest.mark.parametrize("name", ["d6_tq4_rerank", "d7_tq1_rerank"])
 def test_quantised_searches_shuffle_no_row_a_pair(spark, name):
     """A third of the table is a query's candidates, so a row each is as many rows as the product of both tables."""
     pairs = queries.asked(spark, LARGER).count() * queries.corpus(spark, LARGER).count()
