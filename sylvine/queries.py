@@ -192,8 +192,7 @@ def _quantised(bits: int):
 
     def run(spark, d):
         x, q = corpus(spark, d), asked(spark, d)
-        n = x.count()
-        return tidy(blocks.search(q, x, MID, 3, half(n), max(100, -(-n // 10)), Scratch(spark, "quantised"), bits))
+        return tidy(blocks.search(q, x, MID, 3, half, lambda n: max(100, -(-n // 10)), Scratch(spark, "quantised"), bits))
 
     return run
 

@@ -60,3 +60,11 @@ def test_quantised_searches_shuffle_no_row_a_pair(spark, name):
     before = shuffled(spark)
     assert queries.QUERIES[name](spark, LARGER).count() == 10 * queries.asked(spark, LARGER).count()
     assert shuffled(spark) - before < pairs / 4
+
+
+@pytest.mark.parametrize("name", ["d7_tq1_rerank", "d6_tq4_rerank"])
+def test_quantised_searches_shuffle_blocks_and_not_a_row_a_document(spark, name):
+    """Documents, counts by level, histograms and rows near the cut go packed: fewer rows in all than there are vectors."""
+    before = shuffled(spark)
+    assert queries.QUERIES[name](spark, LARGER).count() == 10 * queries.asked(spark, LARGER).count()
+    assert shuffled(spark) - before < queries.corpus(spark, LARGER).count()

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from sylvine.functions import forest
 from sylvine.functions.forest import Forest, calibrate, node_vectors, tree_seed
 
 F = Forest(n_trees=3, depth=6, dim=64)
@@ -48,3 +49,15 @@ def test_probes_are_distinct_and_start_at_the_main_leaf():
             assert all(len(set(leaves[rows == r])) == n for r in range(5))
     with pytest.raises(ValueError):
         Forest(depth=29)
+
+
+@pytest.mark.parametrize("kind", [{}, {"sub_dim": 5, "depth": 3}, {"node_perm": True}, {"tree_sub": 32, "tree_sub_groups": 2}, {"medians": np.full((3, 7), 0.01)}])
+def test_shallow_trees_route_and_probe_as_node_by_node(monkeypatch, kind):
+    """One product for all nodes of a tree leaves signs open near 0: copies, zeros and what isn't a number go the longer way."""
+    x = np.random.default_rng(5).standard_normal((200, 64))
+    x[20:40], x[40:45], x[45, 3], x[46, 2], x[47] = x[0], 0, np.nan, np.inf, 1e200
+    tried = Forest(**({"n_trees": 3, "depth": 4} | kind))
+    found = [tried.route(x), *tried.probe(x, 1, 2), *tried.probe(x, 2, 3, multi=True)]
+    monkeypatch.setattr(forest, "SHALLOW", 0)
+    plain = [tried.route(x), *tried.probe(x, 1, 2), *tried.probe(x, 2, 3, multi=True)]
+    assert all(np.array_equal(a, b, equal_nan=a.dtype == float) for a, b in zip(found, plain, strict=True))
